@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: st
     limit = max(least, int(total * share), 1)
     salts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     heavy = right.where(F.col(weight) > limit).select(*on, salts.alias("_salts"))
-    spread = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.coalesce("_salts", F.lit(1))).cast("int")
+    no_key = reduce(lambda a, b: a | b, [left[c].isNull() for c in on])  # an outer join keeps these; they meet no partner
+    salts_here = F.when(no_key, F.lit(1 << 16)).otherwise(F.coalesce("_salts", F.lit(1)))
+    spread = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), salts_here).cast("int")
     salted = left.join(F.broadcast(heavy), list(on), "left").withColumn("_salt", spread).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
     return salted.join(right.withColumn("_salt", copies), [*on, "_salt"], how).drop("_salt")

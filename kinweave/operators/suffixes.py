@@ -69,11 +69,8 @@ def clean_entity_names(df: DataFrame, column: str, config: SuffixConfig = Suffix
     its ending where no more than k words follow its last preposition or fewer than 10 characters would remain. All
     passes run over the distinct names, weighted by their rows. Null names give nulls. User columns are kept.
     """
-    source = df.groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("n")).where(F.col("_name").isNotNull())
-    values = cut(source.withColumn("_c", X.clean_name("_name")).withColumn("_vid", F.xxhash64("_name")))
-    clash = values.groupBy("_vid").agg(F.count("*").alias("_k")).where("_k > 1").limit(1).count()
-    if clash:
-        raise RuntimeError("two names share a 64-bit hash")
+    source = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("n")))
+    values = source.withColumn("_c", X.clean_name("_name")).withColumn("_vid", F.monotonically_increasing_id())
     old, removed = "_c", []
     for k in [*range(config.words, 0, -1), 0]:
         values = strip_pass(values, old, f"_c{k}", f"_r{k}", max(k, 1), config)
@@ -85,4 +82,4 @@ def clean_entity_names(df: DataFrame, column: str, config: SuffixConfig = Suffix
     )
     total = values.agg(F.sum("n")).first()[0] or 0
     out = salted_join(df.withColumn("_name", F.col(column)), result, ["_name"], "n", total, "left")
-    return out.select(*[df_col for df_col in df.columns], F.col("_cln").alias(f"{column}_CLN"), *[F.col(f"_e{i}").alias(f"{i}-ending") for i in range(config.words + 1)])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_cln").alias(f"{column}_CLN"), *[F.col(f"_e{i}").alias(f"{i}-ending") for i in range(config.words + 1)])
