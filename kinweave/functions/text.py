@@ -6,7 +6,7 @@ Every function takes a Column (or a column name) and gives a Column; null in giv
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,16 +108,20 @@ def word_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(f"({WORD})"), 1)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(tokens: Column, low: int, high: int, joiner: str = " ") -> Column:
     """All runs of low to high neighbouring tokens."""
 
-    def of(n: int) -> Column:
-        count = F.size(tokens) - n + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), joiner))
+    def of(bound: Column, n: int) -> Column:
+        count = F.size(bound) - n + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(bound, i, n), joiner))
         return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
 
-    parts = [of(n) for n in range(low, high + 1)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def word_ngrams(c: Column | str, low: int = 2, high: int = 3, stop_words: Sequence[str] = ()) -> Column:
@@ -131,24 +135,26 @@ def word_ngrams(c: Column | str, low: int = 2, high: int = 3, stop_words: Sequen
 def char_ngrams(c: Column | str, n: int = 2, lower: bool = True) -> Column:
     """Character n-grams of the text with runs of two or more white spaces made one."""
     text = F.regexp_replace(F.lower(col(c)) if lower else col(c), r"(?U)\s\s+", " ")
-    count = F.length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(count >= 1, grams).when(text.isNotNull(), F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        count = F.length(t) - n + 1
+        some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(count >= 1, some).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return let(text, grams)
 
 
 def affix_trigrams(c: Column | str, affixes: Sequence[str], weight: int = 10, last: float = 0.5, first: float = 0.75) -> Column:
     """Character trigrams per word, words padded by their place, repeated by weight; common affixes weigh less at the ends."""
-    w = words(squeeze(c))
-    n = F.size(w)
 
-    def one(word: Column, i: Column) -> Column:
+    def one(word: Column, i: Column, n: Column) -> Column:
         padded = F.when(i == 0, F.concat(word, F.lit(" "))).when(i == n - 1, F.concat(F.lit(" "), word)).otherwise(F.concat(F.lit(" "), word, F.lit(" ")))
         common = word.isin(*affixes) if affixes else F.lit(False)
         factor = F.when(common & (i == n - 1), last).otherwise(1.0) * F.when(common & (i == 0), first).otherwise(1.0)
         times = F.floor(factor * weight + 1e-9).cast("int")
         return F.flatten(F.transform(char_ngrams(padded, 3, lower=False), lambda g: F.array_repeat(g, times)))
 
-    return F.flatten(F.transform(w, one))
+    return let(words(squeeze(c)), lambda w: F.flatten(F.transform(w, lambda word, i: one(word, i, F.size(w)))))
 
 
 def hover_text(node: Column | str, columns: Sequence[str]) -> Column:

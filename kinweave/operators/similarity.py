@@ -56,12 +56,13 @@ def class_vectors(classes: DataFrame, tokenizer: Tokenizer | str = "tfidf") -> D
     blocks = tuple(c for c in classes.columns if c.startswith("_b"))
     n_rows = classes.agg(F.sum("n")).first()[0] or 0
     # Blocks split a value into several classes; df counts rows, so their weights add up.
-    tf = cut(term_frequencies(classes, "class_id", "value", tokenizer, ("value", "n", *blocks)))
-    vectors = weigh(tf, cut(fit_idf(tf, n_rows, "n")), "class_id")
     usable = X.is_present("value")
     for b in blocks:
         usable = usable & F.col(b).isNotNull()
-    return vectors.where(usable).select("class_id", *blocks, "term", "df", "w")
+    marked = classes.withColumn("_ok", usable)
+    tf = cut(term_frequencies(marked, "class_id", "value", tokenizer, ("_ok", "n", *blocks)))
+    vectors = weigh(tf.where("_ok"), cut(fit_idf(tf, n_rows, "n")), "class_id")
+    return vectors.select("class_id", *blocks, "term", "df", "w")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, row_id: str = "class_id", float32_scores: bool = False) -> DataFrame:
@@ -76,11 +77,18 @@ def cosine_pairs(vectors: DataFrame, threshold: float, row_id: str = "class_id",
         raise ValueError("the threshold must be above 0")
     blocks = [c for c in vectors.columns if c.startswith("_b")]
     v = cut(vectors.select(F.col(row_id).alias("_id"), *blocks, "term", "df", "w"))
-    rest = Window.partitionBy("_id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order = Window.partitionBy("_id").orderBy("df", "term")
+    square = F.col("w") * F.col("w")
+    left = F.sqrt(F.sum(square).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    after = F.sqrt(F.coalesce(F.sum(square).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     bound = threshold - SLACK
-    index = v.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where((F.col("_rest") >= bound) & (F.col("df") > 1)).select("_id", *blocks, "term")
-    a, b = index.withColumnRenamed("_id", "idx1"), index.withColumnRenamed("_id", "idx2")
-    candidates = a.join(b, [*blocks, "term"]).where("idx1 < idx2").select("idx1", "idx2").distinct()
+    index = v.select("_id", *blocks, "term", "df", "w", left.alias("_left"), after.alias("_after")).where((F.col("_left") >= bound) & (F.col("df") > 1))
+    a = index.select(*blocks, "term", F.col("_id").alias("idx1"), F.col("w").alias("_w1"), F.col("_after").alias("_after1"))
+    b = index.select(*blocks, "term", F.col("_id").alias("idx2"), F.col("w").alias("_w2"), F.col("_after").alias("_after2"))
+    shared = a.join(b, [*blocks, "term"]).where("idx1 < idx2").groupBy("idx1", "idx2")
+    # Beyond the last shared indexed term, the product of the two remaining lengths bounds what can still be added.
+    reachable = shared.agg((F.sum(F.col("_w1") * F.col("_w2")) + F.min(F.col("_after1") * F.col("_after2"))).alias("_most"))
+    candidates = reachable.where(F.col("_most") >= bound).select("idx1", "idx2")
     full = v.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_v"))  # one row's terms
     scored = candidates.join(full.select(F.col("_id").alias("idx1"), F.col("_v").alias("_v1")), "idx1").join(full.select(F.col("_id").alias("idx2"), F.col("_v").alias("_v2")), "idx2")
     dot = F.aggregate(F.map_entries("_v1"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("_v2"), e["key"]), F.lit(0.0)))

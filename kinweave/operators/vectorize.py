@@ -21,11 +21,9 @@ TOKENIZERS: dict[str, Tokenizer] = {
 
 
 def term_frequencies(df: DataFrame, row_id: str, column: str, tokenizer: Tokenizer, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row_id, *keep, term, tf): counted inside the row, so nothing is shuffled. Null and token-less texts give no rows."""
-    tokens = df.select(row_id, *keep, F.coalesce(tokenizer(F.col(column)), F.array().cast("array<string>")).alias("_tokens"))
-    distinct = tokens.select(row_id, *keep, "_tokens", F.explode(F.array_distinct("_tokens")).alias("term"))
-    tf = F.size(F.filter("_tokens", lambda t: t == F.col("term"))).cast("double")
-    return distinct.select(row_id, *keep, "term", tf.alias("tf"))
+    """(row_id, *keep, term, tf), combined map-side. Null and token-less texts give no rows; keep columns must depend on row_id."""
+    tokens = df.select(row_id, *keep, F.explode(tokenizer(F.col(column))).alias("term"))
+    return tokens.groupBy(row_id, "term").agg(*[F.first(c).alias(c) for c in keep], F.count("*").cast("double").alias("tf")).select(row_id, *keep, "term", "tf")
 
 
 def fit_idf(tf: DataFrame, n_rows: int, weight: str | None = None) -> DataFrame:
