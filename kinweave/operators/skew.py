@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,25 +13,47 @@ from kinweave.operators.numbering import place_in_partition
 from kinweave.session import cut
 
 HEAVY_SHARE = 0.001
-LEAST_HEAVY = 1_000
+LEAST_HEAVY = 10_000  # rows of one key that a task takes in its stride
+
+
+def heavy_counts(df: DataFrame, on: Sequence[str], total: int, share: float = HEAVY_SHARE, least: int = LEAST_HEAVY) -> list:
+    """The keys of df with more than max(least, share of total) rows, each with its count: at most 1 / share of them."""
+    limit = max(least, int(total * share), 1)
+    if total <= limit:
+        return []
+    return df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).collect()
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy: list, total: int, how: str = "inner", share: float = HEAVY_SHARE, least: int = LEAST_HEAVY) -> DataFrame:
+    """Join left with right, which has one row per key; keys in heavy (rows of key and count) are salted.
+
+    A heavy key is spread over as many salts as it holds shares of left's rows, and its right row is repeated for
+    each. The list is bounded (see heavy_counts) and broadcast. Null keys never match; a left join spreads them.
+    """
+    limit = max(least, int(total * share), 1)
+    if how == "inner" and not heavy:
+        return left.join(right, list(on))
+    no_key = reduce(lambda a, b: a | b, [left[c].isNull() for c in on])
+    spread = F.xxhash64(*[left[c] for c in left.columns])
+    if not heavy:
+        salted = left.withColumn("_salt", F.when(no_key, F.pmod(spread, F.lit(1 << 16))).otherwise(0).cast("int"))
+        return salted.join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
+    types = ", ".join(f"`{c}` {right.schema[c].dataType.simpleString()}" for c in on)
+    salts = F.broadcast(left.sparkSession.createDataFrame([(*r[:-1], math.ceil(r[-1] / limit)) for r in heavy], f"{types}, _salts int"))
+    here = F.when(no_key, F.lit(1 << 16)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = left.join(salts, list(on), "left").withColumn("_salt", F.pmod(spread, here).cast("int")).drop("_salts")
+    copies = right.join(salts, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "inner", share: float = HEAVY_SHARE, least: int = LEAST_HEAVY) -> DataFrame:
-    """Join left with right, which has one row per key and in `weight` the number of left rows of that key.
+    """spread_join where right's `weight` column holds the number of left's rows per key, which add up to total.
 
-    A key with more than `share` of the `total` left rows is spread over as many salts as it holds shares; its
-    right row is repeated for each. At most 1 / share keys can be that heavy, so the broadcast list of their salt
-    counts has a proven bound of 1,000 rows by default. Null keys never match. The weight column is kept.
+    The heavy keys are read off right, so that should be cut. Where no key can be heavy, nothing is looked up.
     """
     limit = max(least, int(total * share), 1)
-    salts = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
-    heavy = right.where(F.col(weight) > limit).select(*on, salts.alias("_salts"))
-    no_key = reduce(lambda a, b: a | b, [left[c].isNull() for c in on])  # an outer join keeps these; they meet no partner
-    salts_here = F.when(no_key, F.lit(1 << 16)).otherwise(F.coalesce("_salts", F.lit(1)))
-    spread = F.pmod(F.xxhash64(*[left[c] for c in left.columns]), salts_here).cast("int")
-    salted = left.join(F.broadcast(heavy), list(on), "left").withColumn("_salt", spread).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
-    return salted.join(right.withColumn("_salt", copies), [*on, "_salt"], how).drop("_salt")
+    heavy = right.where(F.col(weight) > limit).select(*on, weight).collect() if total > limit else []
+    return spread_join(left, right, on, heavy, total, how, share, least)
 
 
 def key_chunks(df: DataFrame, key: str, order_by: Sequence[str] = (), chunk_rows: int = 100_000) -> DataFrame:
