@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import contamination, encoding
+from kinweave.llm.addresses import same_locations
 from kinweave.llm.copies import formatting_copies
 from kinweave.llm.distinctive import PRIOR_WORDS, term_scores
 from kinweave.llm.frequency import frequencies
 from kinweave.llm.grouping import link_groups
+from kinweave.llm.names import spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +80,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return link_groups(table(spark, folder, "evidence").where(match)).select(F.col("node").alias("row_idx"), F.col("group_id").alias("cluster_label"))
 
 
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "scan"), "row_idx", "BorrowerName")
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_locations(table(spark, folder, "scan"), "row_idx", "BorrowerAddress")
+
+
 _BAGS = f"SELECT row_idx, list_sort(list_concat(coalesce({_WORDS.format(c='BorrowerName')}, []), coalesce({_WORDS.format(c='BorrowerAddress')}, []))) AS bag FROM scan"
 
 
