@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import contamination, encoding
+from kinweave.llm import contamination, encoding, subjects
 from kinweave.llm.addresses import same_locations
 from kinweave.llm.copies import formatting_copies
 from kinweave.llm.distinctive import PRIOR_WORDS, term_scores
@@ -135,3 +135,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+
+
+# The subjects of the hand labels.
+SUBJECTS = "science law sport software medicine finance travel food".split()
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    theta = subjects.train(docs, "doc_id", "text", table(spark, folder, "subject_labels"), "subject", SUBJECTS, table(spark, folder, "benchmark"))
+    return subjects.document_subjects(docs, "doc_id", "text", theta, SUBJECTS)
