@@ -42,4 +42,19 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "kinweave-checkpoints")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return _without_estimates(df.checkpoint(eager=True))
+
+
+def _without_estimates(df: DataFrame) -> DataFrame:
+    """A checkpointed DataFrame without the size that was estimated for its plan, but with its partitioning.
+
+    The estimate of a join is the product of its sides'. Where rounds join cut tables again and again, its digits
+    double every time, until the driver's memory is full of them; adaptive execution measures sizes anyway.
+    """
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    plan = df._jdf.queryExecution().logical()
+    session, none = spark._jsparkSession, jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, none, none
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
