@@ -105,8 +105,9 @@ def test_names(a, b, same):
 
 
 def test_blocking_finds_what_all_pairs_find(spark):
-    given, surnames = ["William", "Walter", "Kate", "Daniel"], ["Rindtek", "Vailprurt", "Samnead", "Chimcrean", "Stombrend", "Preancous"]
     rng = random.Random(4)
+    given = ["William", "Walter", "Kate", "Daniel"]
+    surnames = [a + b for a in ("Rind", "Vail", "Sam", "Chim", "Stomb", "Prean") for b in ("tek", "prurt", "nead", "crean", "brend", "cous")]
     names = []
     for _ in range(25):
         a, b = rng.sample(surnames, 2)
