@@ -83,3 +83,17 @@ def clean_entity_names(df: DataFrame, column: str, config: SuffixConfig = Suffix
     total = values.agg(F.sum("n")).first()[0] or 0
     out = salted_join(df.withColumn("_name", F.col(column)), result, ["_name"], "n", total, "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_cln").alias(f"{column}_CLN"), *[F.col(f"_e{i}").alias(f"{i}-ending") for i in range(config.words + 1)])
+
+
+def pass_statistics(df: DataFrame, column: str, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+    """(words, endings, near_preposition, short_rest): per pass over the cleaned names, how many endings are common and how
+    many rows keep theirs for either reason. Each pass is counted on the cleaned, not on the already stripped names."""
+    names = cut(df.where(F.col(column).isNotNull()).select(X.clean_name(column).alias("_c")))
+    out = None
+    for k in range(config.words, 0, -1):
+        after = F.coalesce(X.words_after_preposition("_c") <= k, F.lit(False))
+        rows = names.agg(F.count_if(after).alias("near_preposition"), F.count_if(X.residual_length("_c", k) < config.least_residual).alias("short_rest"))
+        part = common_endings(names, "_c", k, config.least_count).agg(F.count("*").alias("endings")).withColumn("_k", F.lit(k)).join(rows.withColumn("_k", F.lit(k)), "_k")
+        part = part.select(F.lit(k).alias("words"), "endings", "near_preposition", "short_rest")
+        out = part if out is None else out.unionByName(part)
+    return out

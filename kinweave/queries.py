@@ -14,7 +14,7 @@ from kinweave.operators import evidence as E
 from kinweave.operators import similarity as S
 from kinweave.operators.reduce_rank import dense_cosine, truncated_svd
 from kinweave.operators.skew import heavy_keys, key_summary
-from kinweave.operators.suffixes import clean_entity_names, common_endings
+from kinweave.operators.suffixes import clean_entity_names, common_endings, pass_statistics
 from kinweave.operators.suffixes import common_affixes as mine_affixes
 from kinweave.operators.vectorize import TOKENIZERS, cross_similarity, fit_idf, term_frequencies, weigh
 from kinweave.plans.linking import RecordLinker, override_labels
@@ -134,6 +134,16 @@ def suffix_clean_full(spark: SparkSession, folder: str) -> DataFrame:
     return clean_entity_names(load_table(spark, folder, "companycleaner"), "BorrowerName")
 
 
+def _statistics_sql(k: int) -> str:
+    return f"""SELECT {k} AS words, (SELECT count(*) FROM ({_ending_sql(k)})) AS endings, count(*) FILTER (({_AFTER}) BETWEEN 0 AND {k}) AS near_preposition,
+        count(*) FILTER (({_RESIDUAL.format(k=k)}) < 10) AS short_rest FROM (SELECT {_SPLIT.format(c="cleaned")} AS w FROM ({_NAMES}) WHERE cleaned IS NOT NULL)"""
+
+
+@query(" UNION ALL ".join(_statistics_sql(k) for k in (3, 2, 1)))
+def suffix_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return pass_statistics(load_table(spark, folder, "companycleaner"), "BorrowerName")
+
+
 @query(f"SELECT \"0-ending\" AS last_word, count(*) AS n FROM ({_suffix_sql()}) GROUP BY 1")
 def removed_endings(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_clean_full(spark, folder).groupBy(F.col("0-ending").alias("last_word")).agg(F.count("*").alias("n"))
@@ -409,7 +419,22 @@ def script_graph(spark: SparkSession, folder: str) -> DataFrame:
 _DOCS = "SELECT min(doc_id) AS id, text AS value, lang, count(*) AS n FROM documents GROUP BY text, lang"
 
 
-@query()
+def _hub_labels(ctes: str, edges: str, rows: str, row_id: str) -> str:
+    """Labels of rows from edges of rows (0 and up) and classes (below 0)."""
+    return f"""WITH RECURSIVE {ctes}, e AS ({edges}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+        reach AS (SELECT src AS node, src AS other FROM b WHERE src >= 0 UNION SELECT reach.node, b.dst FROM reach JOIN b ON reach.other = b.src),
+        comp AS (SELECT node, min(other) FILTER (other >= 0) AS root FROM reach GROUP BY 1 HAVING count(*) FILTER (other >= 0) > 1),
+        labels AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster_label FROM comp)
+        SELECT {row_id}, coalesce(cluster_label, coalesce((SELECT max(cluster_label) FROM labels), -1) + row_number() OVER (PARTITION BY cluster_label IS NULL ORDER BY {row_id})) AS cluster_label
+        FROM {rows} LEFT JOIN labels ON {row_id} = node"""
+
+
+_DOC_CTES = f"""pr AS (WITH {_pairs_sql(_DOCS, 'tfidf', 0.7)} SELECT idx1, idx2 FROM pairs JOIN v a ON a.id = idx1 JOIN v b ON b.id = idx2 WHERE a.lang = b.lang),
+    us AS (WITH {_vectors_sql(_DOCS, 'tfidf')} SELECT DISTINCT id FROM u WHERE value NOT IN ('', 'nan', 'None')),
+    m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS c FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL QUALIFY c IN (SELECT id FROM us))"""
+
+
+@query(_hub_labels(_DOC_CTES, "SELECT doc_id AS src, -c - 1 AS dst FROM m UNION SELECT -idx1 - 1, -idx2 - 1 FROM pr", "documents", "doc_id"))
 def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Documents linked by word 2-3-gram cosine of at least 0.7 within a language, labelled."""
     docs = load_table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("row_idx", F.col("doc_id"))
@@ -434,14 +459,19 @@ def linker_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _full_sql(pairs: str) -> str:
-    return f"""WITH RECURSIVE {_SCAN_EVIDENCE}, usn AS (SELECT DISTINCT id FROM (WITH {_vectors_sql(_BORROWER, 'tfidf')} SELECT id FROM u WHERE value NOT IN ('', 'nan', 'None'))),
+    return f"""WITH RECURSIVE {_scan_ctes()},
+        {pairs}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),"""
+
+
+def _scan_ctes() -> str:
+    return f"""{_SCAN_EVIDENCE}, usn AS (SELECT DISTINCT id FROM (WITH {_vectors_sql(_BORROWER, 'tfidf')} SELECT id FROM u WHERE value NOT IN ('', 'nan', 'None'))),
         usa AS (SELECT DISTINCT id FROM (WITH {_vectors_sql(_ADDRESS, 'numeric')} SELECT id FROM u WHERE value NOT IN ('', 'nan', 'None'))),
         mn AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY BorrowerName) AS c FROM scan WHERE BorrowerName IS NOT NULL QUALIFY c IN (SELECT id FROM usn)),
-        ma AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY BorrowerAddress) AS c FROM scan WHERE BorrowerAddress IS NOT NULL QUALIFY c IN (SELECT id FROM usa)),
-        {pairs}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),"""
+        ma AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY BorrowerAddress) AS c FROM scan WHERE BorrowerAddress IS NOT NULL QUALIFY c IN (SELECT id FROM usa))"""
 
 
-@query()
+@query(_hub_labels(_scan_ctes(), """SELECT row_idx AS src, -2 * c - 1 AS dst FROM mn UNION SELECT row_idx, -2 * c - 2 FROM ma
+    UNION SELECT -2 * idx1 - 1, -2 * idx2 - 1 FROM nm UNION SELECT -2 * idx1 - 2, -2 * idx2 - 2 FROM ad""", "scan", "row_idx"))
 def linker_or(spark: SparkSession, folder: str) -> DataFrame:
     return _linker(spark, folder, "OR").cluster().select("row_idx", "cluster_label")
 

@@ -13,6 +13,7 @@ from kinweave.operators.suffixes import clean_entity_names
 from kinweave.operators.vectorize import TOKENIZERS, cross_similarity, fit_idf, term_frequencies, weigh
 from kinweave.plans import RecordLinker
 from kinweave.plans.linking import override_labels
+from kinweave.plans.script import density_clusters, read_rows, script_clusters
 from kinweave.sources import corpus, read_csv, with_row_index, write_csv
 from kinweave.streaming import score_stream
 
@@ -227,3 +228,21 @@ def test_stream_scoring(spark, tmp_path):
     query = score_stream(stream, "row_idx", "text", idf).writeStream.format("memory").queryName("scored").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(60)
     assert [r.term for r in spark.table("scored").collect()] == ["red fox"]
+
+
+def test_script_pipeline(spark, tmp_path):
+    rows = [("First National Bank", "56-1 x"), ("Owl", "12-3 y"), ("First National Bnk", "56-9 z"), ("Fox and Den", "12-3 y"), (None, "q"), ("Lone", "zz")]
+    write_csv(spark.createDataFrame(rows, "a string, b string").coalesce(1), str(tmp_path / "c"))
+    table = read_rows(spark, str(tmp_path / "c"), ["a", "b"], head=100)
+    got = {r.a: r.cluster_label for r in script_clusters(table, "a", "b").collect()}
+    assert got["First National Bank"] == got["First National Bnk"] is not None and got["Owl"] == got["Fox and Den"] is not None
+    assert got["Lone"] is None and len(got) == 5
+    dense = {r.a: r.cluster_id for r in density_clusters(table, "row_idx", {"a": 0.7, "b": 0.8}).collect()}
+    assert dense["Owl"] == dense["Fox and Den"] and len(set(dense.values())) == 3
+
+
+def test_own_tokenizer(spark):
+    df = spark.createDataFrame([(0, "a-b"), (1, "b-a"), (2, "c")], "row_idx long, n string")
+    rule = {"threshold": 0.9, "tokenizer": lambda c: F.split(c, "-")}
+    labels = {r.row_idx: r.cluster_label for r in RecordLinker(df, {"n": rule}).cluster().collect()}
+    assert labels[0] == labels[1] != labels[2]
