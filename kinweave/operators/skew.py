@@ -109,10 +109,6 @@ def key_summary(df: DataFrame, key: str, order_by: Sequence[str] = (), value: st
 
 def heavy_keys(df: DataFrame, key: str, order_by: Sequence[str] = (), share: float = 0.02, chunk_rows: int = 100_000) -> DataFrame:
     """(key_value, n_rows, share) of the non-null keys that hold at least `share` of all rows of df, null keys counted."""
-    total = df.agg(F.count("*").alias("_total"))
+    total = df.count()
     counted = key_summary(df, key, order_by, chunk_rows=chunk_rows)
-    return (
-        counted.join(F.broadcast(total))  # one row
-        .where((F.col("n_rows") >= F.col("_total") * F.lit(share)))
-        .select(F.col(key).cast("string").alias("key_value"), "n_rows", (F.col("n_rows") / F.col("_total")).alias("share"))
-    )
+    return counted.where(F.col("n_rows") >= F.lit(share * total)).select(F.col(key).cast("string").alias("key_value"), "n_rows", (F.col("n_rows") / F.lit(total)).alias("share"))
