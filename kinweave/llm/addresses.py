@@ -37,9 +37,11 @@ UNITS = "apartment apt unit un suite ste floor flr fl room rm no number".split()
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
 
 _STATE = {part: pair.split()[-1] for pair in STATES.replace("\n", " ").split(",") for part in (" ".join(pair.split()[:-1]), pair.split()[-1])}
+_STATE_NAMES = {k: v for k, v in _STATE.items() if len(k) > 3}
 _KIND = {w: e.partition(":")[0].strip() for e in KINDS.replace("\n", " ").split(";") for w in e.replace(":", " ").split()}
 _DIRECTION = {**DIRECTIONS, **{v: v for v in DIRECTIONS.values()}}
 _ORDINAL = {w: i for i, w in enumerate(ORDINALS, 1)}
+_ORDINAL_NAMES = {w: f"#{i}" for w, i in _ORDINAL.items()}
 _NTH = re.compile(r"(\d+)(?:st|nd|rd|th)$")
 _UNIT = re.compile(r"\d{1,4}[a-z]?$|[a-z]\d{0,3}$")
 _BOX = re.compile(r"\b(?:(?:p ?o|post office) )?box (\d\w*)")
@@ -57,11 +59,17 @@ def tidy(word: str) -> str:
 
 
 def near(word: str, known: dict[str, str]) -> str | None:
-    """The known long word that a word is a typing of."""
+    """The known long word that a word is a typing of, with its first or its last letter right."""
     if len(word) < 4 or any(c.isdigit() for c in word):
         return None
-    best = max(((ratio(word, k), k) for k in known if len(k) > 3 and abs(len(k) - len(word)) < 3), default=(0.0, ""))
-    return known[best[1]] if best[0] >= 0.8 else None
+    cache = kept("near_words", dict)
+    key = (word, len(known))
+    if key not in cache:
+        if len(cache) > 200_000:
+            cache.clear()
+        best = max(((ratio(word, k), k) for k in known if len(k) > 3 and abs(len(k) - len(word)) < 3 and (k[0] == word[0] or k[-1] == word[-1])), default=(0.0, ""))
+        cache[key] = known[best[1]] if best[0] >= 0.8 else None
+    return cache[key]
 
 
 def street_key(words: list[str]) -> str:
@@ -73,8 +81,8 @@ def street_key(words: list[str]) -> str:
             out.append(f"#{int(m.group(1))}")
         elif len(words) == 1 and w in _ORDINAL:
             out.append(f"#{_ORDINAL[w]}")
-        elif len(words) == 1 and len(w) > 4 and (o := max(((ratio(w, x), x) for x in ORDINALS))) and o[0] >= 0.8 and w[-1] in "htd":
-            out.append(f"#{_ORDINAL[o[1]]}")
+        elif len(words) == 1 and len(w) > 4 and w[-1] in "htd" and (o := near(w, _ORDINAL_NAMES)):
+            out.append(o)
         else:
             out.append(w)
     return "".join(out)
@@ -151,7 +159,7 @@ def _segments(words: list[tuple[int, str]], at: int, number: str, unit: str, zip
     """Split the remaining words into street and place."""
     state, names = "", []
     for i, w in reversed(words):
-        known = _STATE.get(w) or (len(w) > 5 and w not in _KIND and near(w, {k: v for k, v in _STATE.items() if len(k) > 3}) or None)
+        known = _STATE.get(w) or (len(w) > 5 and w not in _KIND and near(w, _STATE_NAMES))
         if known and not state and not (w in _KIND and len(w) == 2 and w not in ("ct", "la")):
             state = known
         else:
