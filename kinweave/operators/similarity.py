@@ -88,8 +88,9 @@ def cosine_pairs(vectors: DataFrame, threshold: float, row_id: str = "class_id",
     shared = a.join(b, [*blocks, "term"]).where("idx1 < idx2").groupBy("idx1", "idx2")
     # Beyond the last shared indexed term, the product of the two remaining lengths bounds what can still be added.
     reachable = shared.agg((F.sum(F.col("_w1") * F.col("_w2")) + F.min(F.col("_after1") * F.col("_after2"))).alias("_most"))
-    candidates = reachable.where(F.col("_most") >= bound).select("idx1", "idx2")
-    full = v.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_v"))  # one row's terms
+    candidates = cut(reachable.where(F.col("_most") >= bound).select("idx1", "idx2"))
+    ids = candidates.select(F.explode(F.array("idx1", "idx2")).alias("_id")).distinct()
+    full = v.join(ids, "_id", "left_semi").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_v"))  # one row's terms
     scored = candidates.join(full.select(F.col("_id").alias("idx1"), F.col("_v").alias("_v1")), "idx1").join(full.select(F.col("_id").alias("idx2"), F.col("_v").alias("_v2")), "idx2")
     dot = F.aggregate(F.map_entries("_v1"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("_v2"), e["key"]), F.lit(0.0)))
     pairs = scored.select("idx1", "idx2", dot.alias("similarity")).where(F.col("similarity") >= bound)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
@@ -40,8 +40,8 @@ def weigh(tf: DataFrame, idf: DataFrame, row_id: str, norm: bool = True) -> Data
     total = idf.agg(F.sum("n_ids")).first()[0] or 0
     weighed = salted_join(tf, idf.select("term", "n_ids", "df", "idf"), ["term"], "n_ids", total).withColumn("w", F.col("tf") * F.col("idf"))
     if norm:
-        length = weighed.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-        weighed = weighed.join(length, row_id).withColumn("w", F.col("w") / F.col("_len")).drop("_len")
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row_id)))  # one row's terms
+        weighed = weighed.withColumn("w", F.col("w") / length)
     return weighed.drop("tf", "idf", "n_ids")
 
 
