@@ -29,11 +29,17 @@ ROWS = 256
 _QUOTE = re.compile(r"^[ \t]*((?:[>|][ \t]?)*)(.*)$")
 _SENTENCE = re.compile(r"[.!?]+[\"')\]»”]*(?:\s+(?=[\"'(\[«“¿¡]*[^\W\d_a-zäöüßàâçéèêëîïôûùñáíóú])|\s*$)")
 _WORD = re.compile(r"[^\W\d_]{3,}").findall
+# Lines with which an earlier mail begins: an attribution, a rule with or without words in it, a note in brackets, a sender's header.
+_CHAIN = re.compile(r".*:$|[-_=*]{4,}|\[[^\]]*\]$|(?:from|von|de|da|van)[ \t]*:", re.I)
 
 
 def paragraphs(text: str, sentences: int = SENTENCES) -> list[str]:
-    """Paragraphs of that many sentences or more. Quote marks are taken off; a change of quoting ends a paragraph."""
-    out, lines, depth = [], [], -1
+    """Paragraphs of that many sentences or more. Quote marks are taken off; a change of quoting ends a paragraph.
+
+    A signature, from an unquoted `--` line to the next quoted line or the beginning of an earlier mail, is left out; the
+    chain below it is read.
+    """
+    out, lines, depth, signed = [], [], -1, False
     for line in [*text.split("\n"), ""]:
         m = _QUOTE.match(line)
         marks, rest = m.group(1), m.group(2).strip()
@@ -43,9 +49,11 @@ def paragraphs(text: str, sentences: int = SENTENCES) -> list[str]:
             if joined.count(".") + joined.count("?") + joined.count("!") >= sentences and len(_SENTENCE.findall(joined)) >= sentences:
                 out.append(joined)
             lines = []
-        if rest == "--" and not d:  # a signature follows
-            break
-        if rest:
+        if not d and rest == "--":
+            signed = True
+        elif rest and (d or _CHAIN.match(rest)):
+            signed = False
+        if rest and not signed:
             lines.append(rest)
             depth = d
     return out

@@ -134,6 +134,16 @@ def test_paragraphs():
     assert S.mail_paragraphs(None) == S.mail_paragraphs("") == []
 
 
+@pytest.mark.parametrize("opening", ["On 12/25, A B wrote:", "-----Original Message-----\nFrom: a <a@b.test>\nSent: Fri", "________________________________", "[quoted text follows]"])
+def test_chains_below_a_signature(opening):
+    own, signature, old = "One is here. Two is here. Three is here.", "A. B.\nC. D. E. Office.", "Old is here. Older is here. Oldest is here."
+    for mark in (">", "| ", "> > ", ""):
+        text = f"{own}\n\n-- \n{signature}\n\n{opening}\n{mark}\n" + f"{mark}{old}\n\n--\n{signature}"
+        assert S.paragraphs(text) == [own, old]
+    assert S.paragraphs(f"{own}\n--\n{signature}\n> {old}\n--\n{signature}") == [own, old]
+    assert S.paragraphs(f"{own}\n--\n{signature}\n\n{old}") == [own]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     f = S.Fit([["a", "bb", "ccccc"], ["bb"], ["longerword", "a"]], np.array([[1.0, 0], [0, 1], [0, 0]]))
