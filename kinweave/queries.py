@@ -282,11 +282,22 @@ def topn_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def svd_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosines after projection to 16 dimensions; queries are the part names whose key is divisible by 50, against all."""
-    tf = cut(term_frequencies(cut(S.value_classes(load_table(spark, folder, "part"), "p_partkey", "p_name")), "class_id", "value", TOKENIZERS["char_ngram"], ("n",)))
-    idf = fit_idf(tf, load_table(spark, folder, "part").count(), "n")
-    unit = cut(truncated_svd(weigh(tf, cut(idf), "class_id", norm=False), "class_id", 16))
-    return dense_cosine(unit.where("class_id % 50 = 0"), unit, "class_id", 0.5)
+    """Cosines after projection, class by class; queries are the part names of any row whose key is divisible by 50, against
+    all. `part_name_members` gives the rows of a class."""
+    part = load_table(spark, folder, "part")
+    classes = cut(S.value_classes(part, "p_partkey", "p_name"))
+    tf = cut(term_frequencies(classes, "class_id", "value", TOKENIZERS["char_ngram"], ("n",)))
+    idf = fit_idf(tf, part.count(), "n")
+    unit = cut(truncated_svd(weigh(tf, cut(idf), "class_id", norm=False), "class_id"))
+    asked = S.membership(part.where("p_partkey % 50 = 0"), "p_partkey", "p_name", classes).select("class_id").distinct()
+    return dense_cosine(unit.join(asked, "class_id", "left_semi"), unit, "class_id", 0.5)
+
+
+@query("SELECT p_partkey AS row_idx, min(p_partkey) OVER (PARTITION BY p_name) AS class_id FROM part WHERE p_name IS NOT NULL")
+def part_name_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every part row, as the pairs of part names give it."""
+    rows = load_table(spark, folder, "part")
+    return S.membership(rows, "p_partkey", "p_name", cut(S.value_classes(rows, "p_partkey", "p_name"))).withColumnRenamed("p_partkey", "row_idx")
 
 
 # ---- evidence, graph, labels ---------------------------------------------------------------------------------------

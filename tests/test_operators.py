@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import queries as Q
 from kinweave.operators import components as C
 from kinweave.operators import evidence as E
 from kinweave.operators import similarity as S
@@ -206,6 +207,15 @@ def test_svd_keeps_cosines_at_full_rank(spark):
     assert abs(got[0, 3] - 1) < 1e-6 and 0.3 < got[0, 1] < 1 and (0, 2) not in got
 
 
+def test_svd_query_asks_for_later_copies(spark, tmp_path):
+    names = ["red fox", "red foxes", "blue sea", None]
+    spark.createDataFrame([(i, names[i % 4]) for i in range(1, 103)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = {(r.idx1, r.idx2) for r in Q.svd_cosine(spark, str(tmp_path)).collect()}  # 50 is a copy of 2, 100 one of 4
+    assert pairs == {(4, 1)}
+    members = {r.row_idx: r.class_id for r in Q.part_name_members(spark, str(tmp_path)).collect()}
+    assert members == {i: (i % 4) or 4 for i in range(1, 103) if i % 4 != 3}
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "i int, t string")
     write_csv(df, str(tmp_path / "x"))
