@@ -75,19 +75,21 @@ def cluster_subgraph(rows: DataFrame, row_id: str, edges: DataFrame, label: int)
     return nodes, edges.join(ids, "src", "left_semi")
 
 
-def dbscan(rows: DataFrame, row_id: str, pairs: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def dbscan(rows: DataFrame, row_id: str, pairs: DataFrame, eps: float, min_samples: int, weight: str | None = None) -> DataFrame:
     """(row_id, cluster_id) by density over distances max(1 - similarity, 0); noise is -1.
 
     pairs must hold every pair with similarity above 0; other pairs are at distance 1, so eps must be below 1. A row
     is a core if it and its neighbours number min_samples or more; clusters are the components of cores, and a
-    border row joins the neighbouring cluster with the smallest number.
+    border row joins the neighbouring cluster with the smallest number. Where rows are classes of equal rows, the
+    column weight holds their sizes, which count in the core test.
     """
     if eps >= 1:
         raise ValueError("eps must be below 1: unlisted pairs are at distance 1")
     near = pairs.where(F.greatest(1 - F.col("similarity"), F.lit(0.0)) <= eps + 1e-9).select(F.col("idx1").alias("src"), F.col("idx2").alias("dst"))
     both = cut(near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    ids = rows.select(F.col(row_id).alias("src"))
-    degree = ids.join(both, "src", "left").groupBy("src").agg((F.count("dst") + 1).alias("_n"))
+    ids = cut(rows.select(F.col(row_id).alias("src"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")))
+    beside = both.join(ids.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.sum("_w").alias("_near"))
+    degree = ids.join(beside, "src", "left").select("src", (F.col("_w") + F.coalesce("_near", F.lit(0))).alias("_n"))
     cores = cut(degree.where(F.col("_n") >= min_samples).select("src"))
     core_edges = both.where("src < dst").join(cores, "src", "left_semi").join(cores.withColumnRenamed("src", "dst"), "dst", "left_semi")
     alone = cores.select("src", F.col("src").alias("dst"))

@@ -13,7 +13,7 @@ from kinweave.operators import components as C
 from kinweave.operators import evidence as E
 from kinweave.operators import similarity as S
 from kinweave.operators.reduce_rank import dense_cosine, truncated_svd
-from kinweave.operators.skew import heavy_keys, key_summary
+from kinweave.operators.skew import heavy_keys, key_summary, salted_join
 from kinweave.operators.suffixes import clean_entity_names, common_endings, pass_statistics
 from kinweave.operators.suffixes import common_affixes as mine_affixes
 from kinweave.operators.vectorize import TOKENIZERS, cross_similarity, fit_idf, term_frequencies, weigh
@@ -395,6 +395,7 @@ def max_combine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dbscan(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    """Density clustering of distinct part names, copies not counted; `dbscan_rows_m1` and `_m3` count and label rows."""
     names = load_table(spark, folder, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
     return C.dbscan(names.select("id"), "id", cut(_part_pairs(spark, folder, 0.3)), 0.4, least)
 
@@ -418,6 +419,41 @@ def dbscan_m3(spark: SparkSession, folder: str) -> DataFrame:
     return _dbscan(spark, folder, 3)
 
 
+def _dbscan_rows(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    """Density clustering of all part rows: class by class, each counting its rows. Names that match nothing, not even
+    their copies, are rows of their own."""
+    part = load_table(spark, folder, "part")
+    vectors = cut(_tfidf(spark, folder, "part", "p_partkey", "p_name", "char_ngram"))
+    classes = cut(S.value_classes(part, "p_partkey", "p_name"))
+    members = S.membership(part, "p_partkey", "p_name", classes.join(vectors.select("class_id").distinct(), "class_id", "left_semi"))
+    placed = cut(part.select("p_partkey").join(members, "p_partkey", "left").select("p_partkey", F.coalesce("class_id", "p_partkey").alias("class_id")))
+    sizes = placed.groupBy("class_id").agg(F.count("*").alias("n"))
+    found = cut(C.dbscan(sizes, "class_id", cut(S.cosine_pairs(vectors, 0.3)), 0.4, least, "n"))
+    return salted_join(placed, found, ["class_id"], "n", placed.count()).select(F.col("p_partkey").alias("id"), "cluster_id")
+
+
+_DENSE_ROWS = f"""WITH RECURSIVE near AS (SELECT idx1, idx2 FROM (WITH {_pairs_sql(_PART, 'char_ngram', 0.3)} SELECT * FROM pairs) WHERE similarity >= 0.6 - 1e-9),
+    us AS (WITH {_vectors_sql(_PART, 'char_ngram')} SELECT DISTINCT id FROM u WHERE value NOT IN ('', 'nan', 'None')),
+    firsts AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS first FROM part),
+    placed AS (SELECT p_partkey, CASE WHEN first IN (SELECT id FROM us) THEN first ELSE p_partkey END AS c FROM firsts),
+    two AS (SELECT idx1 AS src, idx2 AS dst FROM near UNION SELECT idx2, idx1 FROM near UNION SELECT c, c FROM placed),
+    core AS (SELECT src AS id FROM two JOIN placed ON c = dst GROUP BY src HAVING count(*) >= {{m}}),
+    reach AS (SELECT id AS node, id AS other FROM core UNION SELECT reach.node, two.dst FROM reach JOIN two ON reach.other = two.src WHERE two.dst IN (SELECT id FROM core)),
+    lab AS (SELECT node, dense_rank() OVER (ORDER BY min(other)) - 1 AS l FROM reach GROUP BY node),
+    bord AS (SELECT src AS node, min(l) AS l FROM two JOIN lab ON dst = node WHERE src NOT IN (SELECT id FROM core) GROUP BY 1)
+    SELECT p_partkey AS id, coalesce(lab.l, bord.l, -1) AS cluster_id FROM placed LEFT JOIN lab ON lab.node = c LEFT JOIN bord ON bord.node = c"""
+
+
+@query(_DENSE_ROWS.replace("{m}", "1"))
+def dbscan_rows_m1(spark: SparkSession, folder: str) -> DataFrame:
+    return _dbscan_rows(spark, folder, 1)
+
+
+@query(_DENSE_ROWS.replace("{m}", "3"))
+def dbscan_rows_m3(spark: SparkSession, folder: str) -> DataFrame:
+    return _dbscan_rows(spark, folder, 3)
+
+
 @query("SELECT DISTINCT least(idx1, idx2) AS src, greatest(idx1, idx2) AS dst FROM (SELECT idx1, idx2, max(coalesce(BorrowerName_similarity, 0)) AS a, max(coalesce(BorrowerAddress_similarity, 0)) AS b FROM (SELECT least(idx1, idx2) AS idx1, greatest(idx1, idx2) AS idx2, BorrowerName_similarity, BorrowerAddress_similarity FROM evidence) GROUP BY 1, 2) WHERE idx1 <> idx2 AND (a > 0.5 OR b > 0.9)")
 def script_graph(spark: SparkSession, folder: str) -> DataFrame:
     e = load_table(spark, folder, "evidence")

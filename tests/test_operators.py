@@ -181,6 +181,16 @@ def test_dbscan(spark):
     assert {r.i: r.cluster_id for r in C.dbscan(rows, "i", pairs, 0.3, 1).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
 
 
+def test_dbscan_counts_copies(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 3), (1, 1), (2, 2), (3, 1)], "i long, n long")
+    pairs = spark.createDataFrame([(0, 1, 0.9), (2, 3, 0.9)], "idx1 long, idx2 long, similarity double")
+    assert {r.i: r.cluster_id for r in C.dbscan(rows, "i", pairs, 0.3, 4, "n").collect()} == {0: 0, 1: 0, 2: -1, 3: -1}
+    assert {r.i: r.cluster_id for r in C.dbscan(rows, "i", pairs, 0.3, 3, "n").collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    names = ["red fox", "red fox", "red fox", "blue sea", None, None, None, "nan", "nan", "nan"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.id: r.cluster_id for r in Q.dbscan_rows_m3(spark, str(tmp_path)).collect()} == {i: 0 if i < 3 else -1 for i in range(10)}
+
+
 def test_evidence(spark):
     frame = lambda rows: spark.createDataFrame(rows, "idx1 long, idx2 long, similarity double")
     got = E.merge_evidence({"a": frame([(1, 2, 0.9), (2, 1, 0.5)]), "b": frame([(3, 1, None)])})
