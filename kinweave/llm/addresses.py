@@ -15,8 +15,7 @@ from kinweave.llm.worker import kept
 from kinweave.operators.skew import salted_join
 from kinweave.session import cut
 
-BEAM = 6
-READINGS = 2  # interpretations of one address that go on to the join
+READINGS = 2  # interpretations of one address that go on to the join, each with all localities that agree equally
 ALIKE = 0.78
 LEAST_SCORE = 1.0  # of a locality that an address may mean
 
@@ -238,11 +237,11 @@ class Places:
                 if not near_by and len(name) > 6:
                     near_by = {c for x in self.deletions(name) for y in self.deletions(x) for c in self.typed.get(y, ())}
                 scored = sorted(((ratio(name, c), c) for c in near_by), reverse=True)
-                self.cache[name] = [x for x in scored if x[0] >= ALIKE][:BEAM]
+                self.cache[name] = [x for x in scored if x[0] >= ALIKE]
         return self.cache[name]
 
     def resolve(self, options: list[Reading]) -> list[tuple[float, str, Reading]]:
-        """Beam search: every reading is extended by the localities it may mean, the best BEAM are kept, then ranked."""
+        """Every reading is extended by all localities it may mean; they are ranked."""
         beam: list[tuple[float, str, Reading]] = []
         for r in options:
             extended = []
@@ -262,8 +261,7 @@ class Places:
             if not r.core:
                 extended = [(s - 1.0, z) for s, z in extended]
             beam += [(s + r.score, z, r) for s, z in extended]
-            beam = sorted(beam, key=lambda x: (-x[0], x[1], x[2].core))[:BEAM]
-        return beam
+        return sorted(beam, key=lambda x: (-x[0], x[1], x[2].core))
 
 
 def gazetteer_places(parsed: DataFrame) -> list[tuple[str, str, str]]:
@@ -297,7 +295,8 @@ def same_locations(df: DataFrame, row_id: str, address: str) -> DataFrame:
     """(idx1, idx2), idx1 < idx2: records whose addresses denote the same location while their normal forms differ.
 
     Distinct normal forms are read into number, unit, street and place. Readings that name zip, state and place give
-    the gazetteer's localities; a beam search resolves every address, complete or not, to its likeliest localities.
+    the gazetteer's localities; a search resolves every address, complete or not, to its likeliest localities, all of them
+    where several agree equally, as the zips of a city do for an address without zip.
     Street spellings are clustered within localities and get identifiers; addresses are joined on street identifier
     and number. Units, directions and kinds of street must not contradict each other; any may be missing. Matches are
     expanded to records. Missing values, texts without a number, and places that no complete address names match
@@ -328,13 +327,16 @@ def same_locations(df: DataFrame, row_id: str, address: str) -> DataFrame:
         for batch in batches:
             out = [[] for _ in columns]
             for fid, form, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                given = set()
+                given, groups = set(), set()
                 beam = places.resolve(readings(form))
                 for score, z, r in beam:
-                    if len(given) >= READINGS or score < beam[0][0] - 0.4:
+                    if score < beam[0][0] - 0.4:
                         break
                     if not r.core or (z, r.number, r.core) in given:
                         continue
+                    if (score, r) not in groups and len(groups) >= READINGS:
+                        continue
+                    groups.add((score, r))
                     given.add((z, r.number, r.core))
                     for column, v in zip(out, (fid, n, z, r.number, r.core, r.kind, r.direction, r.unit)):
                         column.append(v)

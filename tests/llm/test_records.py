@@ -155,6 +155,15 @@ def test_locations(spark):
     assert same_locations(df.limit(0), "row_idx", "a").count() == 0
 
 
+def test_address_without_zip_in_a_city_of_many(spark):
+    zips = range(80210, 80219)
+    rows = [(i, f"{10 + i} Fair Gate Road, Ravenshaw, OR {z}") for i, z in enumerate(zips)]
+    rows += [(100 + i, f"{10 + i} Fair Gate Rd, Ravenshaw, OR") for i in range(len(zips))]
+    rows += [(200, "18 fair gate road ravenshaw oregon")]
+    got = {tuple(r) for r in same_locations(frame(spark, rows, "row_idx long, a string"), "row_idx", "a").collect()}
+    assert got == {(i, 100 + i) for i in range(len(zips))} | {(8, 200), (108, 200)}
+
+
 # 6
 
 
