@@ -113,6 +113,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def counted(tokens: Column) -> Column:
+    """ARRAY<STRUCT<term, tf>> of the different tokens, by a sort within the row; empty without a token."""
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        pair = lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(f, k + 1), n + 1) - i).cast("long").alias("tf")))
+        return F.when(n > 0, let(starts, pair)).otherwise(empty)
+
+    return let(F.sort_array(tokens), runs)
+
+
 def ngrams(tokens: Column, low: int, high: int, joiner: str = " ") -> Column:
     """All runs of low to high neighbouring tokens."""
 

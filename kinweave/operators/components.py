@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.numbering import dense_number
-from kinweave.operators.skew import salted_join
-from kinweave.session import cut
+from kinweave.operators.skew import counted_join
+from kinweave.session import cut, cut_counting, release
 
 MAX_ROUNDS = 100
 
@@ -19,14 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and joined back with hub nodes salted, so no neighbourhood is ever gathered. Self-loops add their node.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = {"n": F.count("*"), "sum": F.bit_xor(F.xxhash64("u", "v"))}
+    e, now = cut_counting(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), **state)
     seen = None
     for _ in range(MAX_ROUNDS):
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or not state[0]:
+        if now == seen or not now["n"]:
             break
-        seen = state
-        e = cut(_small_star(cut(_large_star(e, state[0])), state[0]))
+        seen = now
+        large = cut(_large_star(e, now["n"]))
+        before, (e, now) = e, cut_counting(_small_star(large, seen["n"]), **state)
+        release(before, large)
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -38,21 +40,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-    return salted_join(both.where("v > u"), low, ["u"], "_n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return counted_join(both.where("v > u"), low, ["u"], "_n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    others = salted_join(e, low, ["u"], "_n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = counted_join(e, low, ["u"], "_n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def number_components(components: DataFrame) -> DataFrame:
     """(node, cluster_label): components numbered 0.. by their smallest node."""
-    sizes = cut(components.groupBy("root").agg(F.count("*").alias("_n")))
+    sizes, seen = cut_counting(components.groupBy("root").agg(F.count("*").alias("_n")), n=F.sum("_n"))
     labels = dense_number(sizes, ["root"], "cluster_label")
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    return salted_join(components, labels, ["root"], "_n", total).select("node", "cluster_label")
+    total = seen["n"] or 0
+    return counted_join(components, labels, ["root"], "_n", total).select("node", "cluster_label")
 
 
 def label_rows(rows: DataFrame, row_id: str, labels: DataFrame, singletons: bool = True) -> DataFrame:

@@ -16,9 +16,14 @@ def place_in_partition() -> Column:
     return F.monotonically_increasing_id() % F.lit(_SHIFT)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df, cut, with its partition number _pid and each row's place in its partition _place."""
+    return cut(df.withColumn("_pid", F.spark_partition_id()).withColumn("_place", place_in_partition()))
+
+
 def partition_offsets(fixed: DataFrame) -> DataFrame:
-    """(_pid, _offset): rows in the partitions before each one. fixed must be a cut DataFrame, whose partitions stay."""
-    counts = fixed.groupBy(F.spark_partition_id().alias("_pid")).count().collect()  # one row per partition
+    """(_pid, _offset): rows in the partitions before each one, of a placed table."""
+    counts = fixed.groupBy("_pid").count().collect()  # one row per partition
     rows, total = [], 0
     for pid, n in sorted(counts):
         rows.append((pid, total))
@@ -32,7 +37,6 @@ def dense_number(df: DataFrame, order_by: Sequence[Column | str], name: str, sta
     Rows are range-partitioned, so a third of them sharing one order key would share a task; end order_by with a
     unique column. Equal keys are numbered in arbitrary order. An empty table stays empty.
     """
-    fixed = cut(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
-    numbered = fixed.withColumn("_pid", F.spark_partition_id()).withColumn("_place", place_in_partition())
-    joined = numbered.join(F.broadcast(partition_offsets(fixed)), "_pid")
+    fixed = placed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
+    joined = fixed.join(F.broadcast(partition_offsets(fixed)), "_pid")
     return joined.withColumn(name, F.col("_offset") + F.col("_place") + F.lit(start)).drop("_pid", "_place", "_offset")

@@ -6,14 +6,47 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators.numbering import place_in_partition
-from kinweave.session import cut
+from kinweave.operators.numbering import placed
 
 HEAVY_SHARE = 0.001
-LEAST_HEAVY = 10_000  # rows of one key that a task takes in its stride
+LEAST_HEAVY = 1_000  # rows of one key that a task takes in its stride
+TRACKED = 10_000  # keys of the sketch that finds heavy ones: its error is below a quarter of HEAVY_SHARE
+
+
+def heavy_sketch(key: str) -> Column:
+    """For cut_counting: the keys that can hold HEAVY_SHARE of the rows, at most 1 / HEAVY_SHARE of them, found without a pass of their own."""
+    return F.expr(f"approx_top_k(`{key}`, {int(1 / HEAVY_SHARE)}, {TRACKED})")
+
+
+def sketched_keys(sketch: list, least: int = LEAST_HEAVY) -> list:
+    return [r["item"] for r in sketch or [] if r["item"] is not None and r["count"] > least]
+
+
+def sketched_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: str = "inner") -> DataFrame:
+    """Inner or left join with right, one narrow row per key; left's rows of the heavy keys meet theirs by broadcast and
+    are not shuffled, whatever share they hold. heavy comes from a heavy_sketch of left. left is read twice."""
+    if not heavy:
+        return left.join(right, key, how)
+    few = F.col(key).isin(heavy)
+    return left.where(few).join(F.broadcast(right.where(few)), key, how).unionByName(left.where(~few | F.col(key).isNull()).join(right.where(~few), key, how))
+
+
+def counted_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, share: float = HEAVY_SHARE, least: int = LEAST_HEAVY) -> DataFrame:
+    """Inner join with right, one narrow row per key, whose `weight` bounds the number of left's rows per key.
+
+    The weights add up to total, so that at most 1 / share keys are heavy; these are broadcast, and left's rows of them
+    are not shuffled at all, whatever share they hold. left is read twice.
+    """
+    limit = max(least, int(total * share), 1)
+    if total <= limit:
+        return left.join(right, list(on))
+    heavy = F.col(weight) > limit
+    few = F.broadcast(right.where(heavy))
+    rest = left.join(F.broadcast(right.where(heavy).select(*on)), list(on), "left_anti").join(right.where(~heavy), list(on))
+    return left.join(few, list(on)).unionByName(rest)
 
 
 def heavy_counts(df: DataFrame, on: Sequence[str], total: int, share: float = HEAVY_SHARE, least: int = LEAST_HEAVY) -> list:
@@ -69,12 +102,12 @@ def key_chunks(df: DataFrame, key: str, order_by: Sequence[str] = (), chunk_rows
     if order_by:
         order = [key, *order_by]
         present = present.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(present).withColumn("_pid", F.spark_partition_id()).withColumn("_place", place_in_partition())
-    counts = placed.groupBy("_pid", key).agg(F.count("*").alias("_n"))
+    rows = placed(present)
+    counts = rows.groupBy("_pid", key).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_pid", key).orderBy("_place")) - 1
-    numbered = placed.withColumn("_in_part", place).join(offsets, ["_pid", key])
+    numbered = rows.withColumn("_in_part", place).join(offsets, ["_pid", key])
     pos = (F.col("_before") + F.col("_in_part")).cast("long")
     return numbered.withColumn("_pos", pos).withColumn("_chunk", F.floor(pos / F.lit(chunk_rows))).drop("_pid", "_place", "_in_part", "_before")
 

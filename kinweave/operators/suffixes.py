@@ -69,8 +69,8 @@ def clean_entity_names(df: DataFrame, column: str, config: SuffixConfig = Suffix
     its ending where no more than k words follow its last preposition or fewer than 10 characters would remain. All
     passes run over the distinct names, weighted by their rows. Null names give nulls. User columns are kept.
     """
-    source = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("n")))
-    values = source.withColumn("_c", X.clean_name("_name")).withColumn("_vid", F.monotonically_increasing_id())
+    source = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("n")).withColumn("_vid", F.monotonically_increasing_id()))
+    values = source.withColumn("_c", X.clean_name("_name"))
     old, removed = "_c", []
     for k in [*range(config.words, 0, -1), 0]:
         values = strip_pass(values, old, f"_c{k}", f"_r{k}", max(k, 1), config)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
 from kinweave.functions.stopwords import ENGLISH
-from kinweave.operators.skew import salted_join
+from kinweave.operators.skew import counted_join
 
 Tokenizer = Callable[[Column], Column]
 TOKENIZERS: dict[str, Tokenizer] = {
@@ -35,10 +35,10 @@ def fit_idf(tf: DataFrame, n_rows: int, weight: str | None = None) -> DataFrame:
 def weigh(tf: DataFrame, idf: DataFrame, row_id: str, norm: bool = True) -> DataFrame:
     """TF-IDF weights w of the terms in idf; others are dropped. With norm every row has length 1.
 
-    Rows of terms that stand in a large share of all rows are salted (see salted_join).
+    Rows of terms that stand in a large share of all rows meet their weights by broadcast (see counted_join).
     """
     total = idf.agg(F.sum("n_ids")).first()[0] or 0
-    weighed = salted_join(tf, idf.select("term", "n_ids", "df", "idf"), ["term"], "n_ids", total).withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = counted_join(tf, idf.select("term", "n_ids", "df", "idf"), ["term"], "n_ids", total).withColumn("w", F.col("tf") * F.col("idf"))
     if norm:
         length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(row_id)))  # one row's terms
         weighed = weighed.withColumn("w", F.col("w") / length)

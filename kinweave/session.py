@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(name: str = "kinweave", cpus: int | str = "*", **conf: object) -> SparkSession:
@@ -27,34 +30,72 @@ def build_session(name: str = "kinweave", cpus: int | str = "*", **conf: object)
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder named by spark.checkpoint.dir and forget its lineage.
+def _folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables: below the shared folder that spark.checkpoint.dir names.
 
     Where that setting is absent (local tests) a temporary folder of this machine is used, which only a
     single-machine session may do; on a cluster without the setting this raises.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "kinweave-checkpoints")
         sc.setCheckpointDir(folder)
-    return _without_estimates(df.checkpoint(eager=True))
+    folder = f"{sc.getCheckpointDir()}/kinweave-{sc.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, sc, folder)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(sc: SparkContext, path: str) -> None:
+    try:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # the JVM has gone; the folder of a finished application holds nothing that is read again
+        pass
+
 
+def _storable(df: DataFrame) -> bool:
+    """Whether Parquet can hold df: no void or interval column, no names that differ in case only."""
+    plain = not any(x in kind for _, kind in df.dtypes for x in ("void", "interval"))
+    return plain and len({c.lower() for c in df.columns}) == len(df.columns)
 
-def _without_estimates(df: DataFrame) -> DataFrame:
-    """A checkpointed DataFrame without the size that was estimated for its plan, but with its partitioning.
 
-    The estimate of a join is the product of its sides'. Where rounds join cut tables again and again, its digits
-    double every time, until the driver's memory is full of them; adaptive execution measures sizes anyway.
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once as a table in the shared folder and read from there: its lineage ends.
+
+    Executors may be lost afterwards, and the optimiser knows the table's true size. Partitions and their order are not
+    kept, so row numbers and partition numbers must be columns of df. What Parquet cannot hold is checkpointed.
     """
-    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
-    plan = df._jdf.queryExecution().logical()
-    session, none = spark._jsparkSession, jvm.scala.Option.empty()
-    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(
-        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, none, none
-    )
-    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
+    return cut_counting(df)[0]
+
+
+def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut, and aggregates of df that are observed while it is written."""
+    spark = df.sparkSession
+    seen = Observation() if measures else None
+    if seen:
+        df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
+    folder = _folder(spark)
+    if _storable(df):
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = spark.read.schema(df.schema).parquet(path)
+        table._cut_at = path
+    else:
+        table = df.checkpoint(eager=True)
+    return table, dict(seen.get) if seen else {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing will read again, as in loops; the others go with the application."""
+    for t in tables:
+        if path := getattr(t, "_cut_at", None):
+            _delete(t.sparkSession.sparkContext, path)
