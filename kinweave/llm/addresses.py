@@ -303,7 +303,7 @@ def same_locations(df: DataFrame, row_id: str, address: str) -> DataFrame:
     nothing.
     """
     rows = df.where(is_present(F.col(address).cast("string"))).select(F.col(row_id).alias("_row"), normal_form(F.col(address).cast("string")).alias("_form"))
-    forms = cut(rows.groupBy("_form").agg(F.count("*").alias("_n"))).withColumn("_fid", F.monotonically_increasing_id())
+    forms = cut(rows.groupBy("_form").agg(F.count("*").alias("_n")).withColumn("_fid", F.monotonically_increasing_id()))
     fields = "zip string, city string, state string, _n long, _only boolean"
 
     def read(batches):

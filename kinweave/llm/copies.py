@@ -19,7 +19,7 @@ def encode_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     A value is canonicalised once, however many records hold it. Words get dense integers in alphabetical order.
     """
     cells = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("value")).where("value IS NOT NULL")
-    values = cut(cells.groupBy("value").agg(F.count("*").alias("n"))).withColumn("_v", F.monotonically_increasing_id())
+    values = cut(cells.groupBy("value").agg(F.count("*").alias("n")).withColumn("_v", F.monotonically_increasing_id()))
     tokens = cut(values.select("_v", F.explode(words(normal_form("value"))).alias("word")))
     counts = tokens.groupBy("word").agg(F.count("*").alias("_n"))
     dictionary = cut(dense_number(counts, ["word"], "code"))

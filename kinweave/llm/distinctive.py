@@ -4,51 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import is_present, normal_form, words
-from kinweave.operators.skew import salted_join
+from kinweave.functions.text import counted, is_present, normal_form, words
+from kinweave.operators.skew import counted_join
 from kinweave.session import cut
 
 PRIOR_WORDS = 1_000.0
 
 
-def _z(tf: Column, length: Column, count: Column, total: Column, prior: float) -> Column:
+def _z(tf: Column, length: Column, count: Column, total: Column, prior: Column) -> Column:
     """z-score of a record's log-odds against the rest; 0 where a side holds nothing but this term."""
-    alpha = F.lit(prior) * count / total
+    alpha = prior * count / total
     rest_tf, rest_length = count - tf, total - length
     odds = (tf + alpha) / F.nullif(length + prior - tf - alpha, F.lit(0.0))
     rest = (rest_tf + alpha) / F.nullif(rest_length + prior - rest_tf - alpha, F.lit(0.0))
     return F.coalesce((F.log(odds) - F.log(rest)) / F.sqrt(1 / (tf + alpha) + 1 / (rest_tf + alpha)), F.lit(0.0))
 
 
-def term_scores(df: DataFrame, row_id: str, fields: Sequence[str], prior: float = PRIOR_WORDS) -> DataFrame:
-    """(row_id, field, term, tf, df, z, n_terms, least_df, n_least) of every different word of every record and field.
+def term_scores(df: DataFrame, row_id: str, fields: Sequence[str], prior: float | None = PRIOR_WORDS, by_record: bool = False) -> DataFrame:
+    """(row_id, field, term, tf, df, n_terms, z) of every different word of every record and field.
 
-    z compares the record with the rest of its column, `df` counts the records that hold the term, n_terms the
-    record's different terms; least_df is the smallest df among them and n_least how many have it. Missing values
-    and values without a word give no rows; ties keep all their terms. row_id must be unique.
+    z compares the record with the rest of its column: log-odds with a Dirichlet prior of `prior` words spread like the
+    collection's counts, or, with None, of the collection's counts themselves. by_record counts a word once per record,
+    however often it stands there (tf is then 1). `df` counts the records that hold the term, n_terms the record's
+    different terms. Missing values and values without a word give no rows; ties keep all their terms. row_id must be
+    unique.
 
-    Equal values are scored once and weighted by their records; the scores are joined back to the records with heavy
-    terms and heavy values salted, so neither a word nor a value held by a third of all records makes a hot task.
+    Words are counted inside their row. The only row-wise shuffle is the join with the statistics; terms that a
+    thousandth of all rows hold meet theirs by broadcast, so that no word makes a hot task.
     """
-    cells = df.select(F.col(row_id), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("_c"))
-    cells = cells.select(row_id, "_c.field", "_c.value").where(is_present("value"))
-    classes = cut(cells.groupBy("field", "value").agg(F.count("*").alias("n"))).withColumn("_class", F.monotonically_increasing_id())
-    tokens = classes.select("_class", "field", "n", words(normal_form("value")).alias("_w"))
-    terms = tokens.select("_class", "field", "n", F.size("_w").cast("double").alias("_length"), F.explode("_w").alias("term"))
-    counted = cut(terms.groupBy("_class", "term").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("_length").alias("_length"), F.count("*").cast("double").alias("tf")))
-    stats = cut(counted.groupBy("field", "term").agg(F.sum(F.col("tf") * F.col("n")).alias("_count"), F.sum("n").alias("df"), F.count("*").alias("_weight")))
-    totals = stats.groupBy("field").agg(F.sum("_count").alias("_total"), F.sum("_weight").alias("_rows")).collect()  # one row a field
-    if not totals:
-        totals = [(f, 1.0, 0) for f in fields]
-    total = F.create_map(*[x for r in totals for x in (F.lit(r[0]), F.lit(float(r[1])))])[F.col("field")]
-    scored = salted_join(counted, stats, ["field", "term"], "_weight", sum(r[2] for r in totals)).withColumn("z", _z(F.col("tf"), F.col("_length"), F.col("_count"), total, prior))
-    mine = Window.partitionBy("_class")
-    least = scored.withColumn("n_terms", F.count("*").over(mine)).withColumn("least_df", F.min("df").over(mine))
-    least = least.withColumn("n_least", F.count_if(F.col("df") == F.col("least_df")).over(mine))
-    packed = least.groupBy("_class").agg(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"), "df", "z", "n_terms", "least_df", "n_least")).alias("_terms"))  # one value's words
-    values = classes.join(packed, "_class").select("field", "value", "n", "_terms")
-    n_cells = classes.agg(F.sum("n")).first()[0] or 0
-    return salted_join(cells, values, ["field", "value"], "n", n_cells).select(row_id, "field", F.inline("_terms"))
+    cells = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f).cast("string").alias("_value")) for i, f in enumerate(fields)])
+    values = df.select(F.col(row_id).alias("_row"), F.explode(cells).alias("_c")).where(is_present("_c._value"))
+    texts = cut(values.select("_row", "_c._f", counted(words(normal_form("_c._value"))).alias("_terms")))
+    length = F.size("_terms") if by_record else F.aggregate("_terms", F.lit(0).cast("long"), lambda n, x: n + x["tf"])
+    terms = texts.select("_row", "_f", F.size("_terms").alias("n_terms"), length.cast("double").alias("_length"), F.inline("_terms"))
+    if by_record:
+        terms = terms.withColumn("tf", F.lit(1).cast("long"))
+    stats = cut(terms.groupBy("_f", "term").agg(F.sum("tf").cast("double").alias("_count"), F.count("*").alias("df")))
+    totals = {r[0]: (float(r[1]), r[2]) for r in stats.groupBy("_f").agg(F.sum("_count"), F.sum("df")).collect()}  # one row a field
+    total = F.get(F.array(*[F.lit(totals.get(i, (1.0, 0))[0]) for i in range(len(fields))]), F.col("_f"))
+    scored = counted_join(terms, stats, ["_f", "term"], "df", sum(n for _, n in totals.values()))
+    z = _z(F.col("tf").cast("double"), F.col("_length"), F.col("_count"), total, total if prior is None else F.lit(float(prior)))
+    field = F.get(F.array(*map(F.lit, fields)), F.col("_f"))
+    return scored.select(F.col("_row").alias(row_id), field.alias("field"), "term", "tf", "df", "n_terms", z.alias("z"))
+
+
+def most_distinctive(scores: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, field, term, df, n_terms, z): each record and field's term of the highest z, where no other term ties with it.
+
+    The first and the last of the terms with the highest z are aggregated, and are the same where it stands alone.
+    """
+    last, first = F.max(F.struct("z", "term", "df", "n_terms")), F.min(F.struct((-F.col("z")).alias("z"), "term"))
+    ends = scores.repartition(row_id, "field").groupBy(row_id, "field").agg(last.alias("_last"), first.alias("_first"))
+    return ends.where("_last.term = _first.term").select(row_id, "field", "_last.term", "_last.df", "_last.n_terms", "_last.z")

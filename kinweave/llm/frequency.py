@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import is_present, normal_form, words
+from kinweave.functions.text import counted, is_present, normal_form, words
+from kinweave.session import cut
 
 RARE = 1
 COMMON = 0.05
@@ -34,7 +35,7 @@ def run_lengths(pairs: DataFrame, term: str, record: str, times: str) -> DataFra
     records spans many partitions, while equal (term, record) rows stay together. Each partition is scanned once; the
     runs of a term that crosses partitions or batches are added up afterwards.
     """
-    ordered = pairs.select(term, record, F.col(times).cast("long").alias(times)).repartitionByRange(term, record).sortWithinPartitions(term, record)
+    ordered = cut(pairs.select(term, record, F.col(times).cast("long").alias(times))).repartitionByRange(term, record).sortWithinPartitions(term, record)
 
     def scan(batches):
         last_term = last_record = None
@@ -61,15 +62,14 @@ def frequencies(df: DataFrame, record: str, text: str, by: str = "word", rare: i
 
     Records are the distinct ids whose text is not missing; a row delivered twice counts once. mark is `rare` for a
     term in at most `rare` records, `common` for one in more than that share of the records, else null; if both hold,
-    as in tiny tables, `rare`. A text's equal words are combined before anything is sorted.
+    as in tiny tables, `rare`. A text's equal words are combined inside its row; one sort by (term, record) does the rest.
     """
-    rows = df.where(is_present(F.col(text).cast("string"))).select(F.col(record).alias("_record"), F.col(text).cast("string").alias("_text")).distinct()
+    rows = cut(df.where(is_present(F.col(text).cast("string"))).select(F.col(record).alias("_record"), F.col(text).cast("string").alias("_text")).distinct())
     n_records = rows.agg(F.count_distinct("_record") + F.max(F.col("_record").isNull().cast("int"))).first()[0] or 0
     if by == "value":
         pairs = rows.select(F.col("_text").alias("term"), "_record", F.lit(1).alias("times"))
     elif by == "word":
-        tokens: Column = words(normal_form("_text"))
-        pairs = rows.select("_record", F.explode(tokens).alias("term")).groupBy("term", "_record").agg(F.count("*").alias("times"))
+        pairs = rows.select("_record", F.inline(counted(words(normal_form("_text"))))).select("term", "_record", F.col("tf").alias("times"))
     else:
         raise ValueError("by must be word or value")
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common * n_records), "common")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import contamination, encoding, subjects
 from kinweave.llm.addresses import same_locations
 from kinweave.llm.copies import formatting_copies
-from kinweave.llm.distinctive import PRIOR_WORDS, term_scores
+from kinweave.llm.distinctive import PRIOR_WORDS, most_distinctive, term_scores
 from kinweave.llm.frequency import frequencies
 from kinweave.llm.grouping import link_groups
 from kinweave.llm.names import spelling_variants
@@ -52,9 +52,9 @@ _TERMS = f"""cells AS ({_CELLS}), tf AS (SELECT row_idx, field, len(w) AS n, ter
     y AS (SELECT *, count(*) FILTER (df = least) OVER (PARTITION BY row_idx, field) AS ties FROM x)
     SELECT row_idx, field, term FROM y WHERE n >= 2 AND df = least AND ties = 1 AND df BETWEEN 2 AND 5""")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    scored = term_scores(table(spark, folder, "scan"), "row_idx", _FIELDS)
-    rarest = (F.col("n_terms") >= 2) & (F.col("df") == F.col("least_df")) & (F.col("n_least") == 1)
-    return scored.where(rarest & F.col("df").between(2, 5)).select("row_idx", "field", "term")
+    """Words are counted once a record against the collection's own counts as prior; z then falls strictly as df rises."""
+    scores = term_scores(table(spark, folder, "scan"), "row_idx", _FIELDS, prior=None, by_record=True)
+    return most_distinctive(scores, "row_idx").where("n_terms >= 2 AND df BETWEEN 2 AND 5").select("row_idx", "field", "term")
 
 
 _ALPHA = f"({PRIOR_WORDS} * c / t)"
