@@ -13,7 +13,7 @@ from kinweave.llm.copies import formatting_copies
 from kinweave.llm.distinctive import PRIOR_WORDS, most_distinctive, term_scores
 from kinweave.llm.frequency import frequencies
 from kinweave.llm.grouping import link_groups
-from kinweave.llm.names import spelling_variants
+from kinweave.llm.names import spelling_variants, variant_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +82,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spelling_variants(table(spark, folder, "scan"), "row_idx", "BorrowerName")
+    return spelling_variants(table(spark, folder, "scan"), "row_idx", "BorrowerName", "BorrowerAddress")
+
+
+@query()
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every named record with its class of equal normal forms and its number of variant records."""
+    return variant_links(table(spark, folder, "scan"), "row_idx", "BorrowerName", "BorrowerAddress")
 
 
 @query()

@@ -1,14 +1,18 @@
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm.addresses import readings, same_locations, street_key
 from kinweave.llm.copies import encode_values, formatting_copies
-from kinweave.llm.distinctive import term_scores
+from kinweave.llm.distinctive import most_distinctive, term_scores
 from kinweave.llm.frequency import frequencies
 from kinweave.llm.grouping import link_groups
-from kinweave.llm.names import Matcher, lcs, name_tokens, spelling_variants
+from kinweave.llm import names as llm_names
+from kinweave.llm.names import SUFFIX, Matcher, expand_pairs, lcs, name_tokens, spelling_variants, variant_links
 
 
 def frame(spark, rows, schema):
@@ -24,7 +28,7 @@ def test_term_scores(spark):
     assert set(got) == {(0, "a", "red"), (0, "a", "fox"), (1, "a", "red"), (1, "a", "owl"), (2, "a", "red"), (2, "a", "owl"), (5, "a", "red"), (5, "a", "fox"), (1, "b", "x"), (4, "b", "x")}
     assert got[2, "a", "red"].tf == 2 and got[2, "a", "red"].df == 4 and got[0, "a", "fox"].df == 2
     assert got[0, "a", "fox"].z > got[0, "a", "red"].z
-    assert (got[0, "a", "fox"].n_terms, got[0, "a", "fox"].least_df, got[0, "a", "fox"].n_least) == (2, 2, 1)
+    assert got[0, "a", "fox"].n_terms == 2
     assert got[1, "b", "x"].z == 0.0
     assert term_scores(frame(spark, [], "row_idx long, a string"), "row_idx", ["a"]).count() == 0
 
@@ -34,6 +38,28 @@ def test_term_scores_keep_clashing_columns(spark):
     assert {r.term for r in term_scores(df, "row_idx", ["a"]).collect()} == {"a", "b"}
 
 
+def test_z_falls_as_the_collection_count_rises():
+    for total, length in ((40.0, 3.0), (3e6, 5.0), (3e6, 300.0)):
+        z = []
+        for count in range(1, 30):
+            alpha, rest = float(count), count - 1.0
+            odds = math.log((1 + alpha) / (length + total - 1 - alpha)) - math.log((rest + alpha) / (total - length + total - rest - alpha))
+            z.append(odds / math.sqrt(1 / (1 + alpha) + 1 / (rest + alpha)))
+        assert all(a > b for a, b in zip(z, z[1:]))
+
+
+def test_most_distinctive_terms_come_from_z(spark):
+    rows = [(0, "red red fox"), (1, "red owl"), (2, "red owl elk"), (3, "red fox owl"), (4, "owl elk"), (5, "hen cat"), (6, "red")]
+    scores = term_scores(frame(spark, rows, "row_idx long, a string"), "row_idx", ["a"], None, True)
+    got = {r.row_idx: (r.term, r.df, r.n_terms) for r in most_distinctive(scores, "row_idx").collect()}
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    for i, t in rows:
+        ranked = sorted((df[w], w) for w in set(t.split()))
+        assert got.get(i) == ((ranked[0][1], ranked[0][0], len(ranked)) if len(ranked) == 1 or ranked[0][0] < ranked[1][0] else None)
+    broken = {r.row_idx for r in most_distinctive(scores.withColumn("z", F.lit(0.0)), "row_idx").collect()}
+    assert broken == {6}  # where z says nothing, only a single word stands out
+
+
 # 2
 
 
@@ -85,42 +111,96 @@ def test_lcs():
         assert lcs(a, b) == slow(a, b)
 
 
+COMMON = dict.fromkeys("dental services bakery company william walter john".split(), 900)
+
+
+def same_name(a, b):
+    tokens = [name_tokens(x) for x in (a, b)]
+    return Matcher(COMMON, 10_000).same(*tokens, *[[COMMON.get(t, 3) for t in x] for x in tokens])
+
+
 @pytest.mark.parametrize(
     "a, b, same",
     [
         ("william j rindtek vailprurt", "vailprurt bill rindtek", True),
         ("w rindtek vailprurt", "william rindtek vailprvrt", True),
         ("william rindtek vailprurt", "walter rindtek vailprurt", False),
+        ("leonard rindtek vailprurt", "peggy l rindtek vailprurt", False),
+        ("l rindtek vailprurt", "peggy l rindtek vailprurt", False),
         ("rindtek vailprurt dental services llc", "dental services of vailprurt and rindtek llc", True),
         ("rindtek vailprurt dntl svc llc", "the rindtek vailprurt dental services limited liability company", True),
         ("rindtekvailprurt dental services", "rindtek vailprurt dental services", True),
         ("rindtek vailprurt dental services llc", "rindtek vailprurt bakery company inc", False),
         ("rindtek vailprurt dental services", "rindtek vailprurt", True),
+        ("rindtek vailprurt dental servces", "rindtek vailprurt dental", True),
+        ("acme bakery llc", "acme bakery", True),
+        ("acme bakery", "acmee bakery", True),
+        ("john kowalczyk", "jon kowalczyk", True),
+        ("kowalczyk llc", "kowalczyk inc", True),
+        ("kowalczyk", "kowalski", False),
     ],
 )
 def test_names(a, b, same):
-    generic = frozenset("dental services bakery company william walter".split())
-    assert Matcher(generic).same(name_tokens(a), name_tokens(b)) is same
+    assert same_name(a, b) is same and same_name(b, a) is same
     assert name_tokens("14899 fair gate road") == []
 
 
-def test_blocking_finds_what_all_pairs_find(spark):
-    rng = random.Random(4)
+def expected_variants(names, n_names):
+    forms = {i: " ".join(re.sub("[^a-z0-9]+", " ", n.lower().replace(",", "").replace(".", "")).split()) for i, n in enumerate(names) if n and n != "nan"}
+    tokens = {i: name_tokens(f) for i, f in forms.items()}
+    ends = Counter(p for t in {tuple(sorted(t)) for t in tokens.values()} for p in {w[-SUFFIX:] if len(w) > 1 else f"={w}" for w in t})
+    matcher = Matcher({}, n_names)
+    count = lambda t: [ends[w[-SUFFIX:] if len(w) > 1 else f"={w}"] for w in t]
+    return {(i, j) for i in forms for j in forms if i < j and forms[i] != forms[j] and tokens[i] and tokens[j] and matcher.same(tokens[i], tokens[j], count(tokens[i]), count(tokens[j]))}
+
+
+def some_names(seed):
+    rng = random.Random(seed)
     given = ["William", "Walter", "Kate", "Daniel"]
     surnames = [a + b for a in ("Rind", "Vail", "Sam", "Chim", "Stomb", "Prean") for b in ("tek", "prurt", "nead", "crean", "brend", "cous")]
     names = []
     for _ in range(25):
         a, b = rng.sample(surnames, 2)
         names += [f"{rng.choice(given)} {a} {b}", f"{b}, {rng.choice(given)} {a}", f"{a} & {b} Dental Ltd", None, "", "nan", f"{a}x {b} DENTAL"]
-    df = frame(spark, list(enumerate(names)), "row_idx long, n string")
-    got = {tuple(r) for r in spelling_variants(df, "row_idx", "n").collect()}
-    matcher = Matcher(frozenset())
-    forms = {i: " ".join(n.lower().replace(",", "").replace("&", " ").split()) for i, n in enumerate(names) if n and n != "nan"}
-    want = {(i, j) for i in forms for j in forms if i < j and forms[i] != forms[j] and matcher.same(name_tokens(forms[i]), name_tokens(forms[j]))}
-    assert got <= want and len(got) >= 0.95 * len(want)
+    return [*names, "acme bakery llc", "Acme Bakery", "Acmee bakery", "john kowalczyk", "jon kowalczyk", "Kowalczyk LLC", "kowalczyk inc.", "kowalczyk llc"]
+
+
+@pytest.mark.parametrize("block", [50, 12])
+def test_blocking_finds_what_all_pairs_find(spark, monkeypatch, block):
+    """With blocks of twelve names most suffixes have to be refined with other tokens."""
+    monkeypatch.setattr(llm_names, "MOST_BLOCK", block)
+    names = some_names(4)
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
+    rows = spelling_variants(df, "row_idx", "n").collect()
+    got = {tuple(r) for r in rows}
+    tokens = {tuple(sorted(name_tokens(" ".join(re.sub("[^a-z0-9]+", " ", n.lower().replace(",", "").replace(".", "")).split())))) for n in names if n and n != "nan"}
+    want = expected_variants(names, len(tokens))
+    assert len(rows) == len(got) and got <= want and len(got) >= 0.95 * len(want)
+    n = len(names) - 8
+    assert {(n, n + 1), (n, n + 2), (n + 1, n + 2), (n + 3, n + 4), (n + 5, n + 6), (n + 6, n + 7)} <= got
+
+
+def test_common_names_are_refined_with_another_field(spark, monkeypatch):
+    monkeypatch.setattr(llm_names, "MOST_BLOCK", 2)
+    rows = [(i, f"{g} {w} smith", f"{i // 2} Way") for i, (g, w) in enumerate([("john", "carter"), ("john", "cartr"), ("john", "cater"), ("jon", "carter"), ("jon", "cartr"), ("john", "cartar")])]
+    df = spark.createDataFrame(rows, "row_idx long, n string, a string")
+    plain, refined = ({tuple(r) for r in spelling_variants(df, "row_idx", "n", x).collect()} for x in (None, "a"))
+    assert plain <= refined and {(0, 1), (2, 3), (4, 5)} <= refined
+
+
+def test_variants_of_nothing_and_links(spark):
+    df = spark.createDataFrame([(0, "Acme Bakery"), (1, "acme  bakery"), (2, "Acme Bakery LLC"), (3, None), (4, "...")], "row_idx long, n string")
+    assert {tuple(r) for r in variant_links(df, "row_idx", "n").collect()} == {(0, 0, 1), (1, 0, 1), (2, 2, 2), (4, 4, 0)}
     assert spelling_variants(df.limit(0), "row_idx", "n").count() == 0
 
 
+def test_chunks_make_the_same_pairs(spark):
+    members = spark.createDataFrame([(i, i % 3, 10) for i in range(30)], "_row long, _fid long, _n long")
+    matches = spark.createDataFrame([(0, 1), (1, 2)], "f1 long, f2 long")
+    plain, dealt = ([tuple(r) for r in expand_pairs(matches, members, n).collect()] for n in (1000, 3))
+    assert sorted(plain) == sorted(dealt) and len(set(plain)) == len(plain) == 200
+
+
 # 4
 
 
