@@ -6,18 +6,19 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import is_present, normal_form
-from kinweave.llm.names import expand_pairs, lcs
+from kinweave.llm.names import expand_pairs, form_links, lcs
 from kinweave.llm.worker import kept
-from kinweave.operators.skew import salted_join
-from kinweave.session import cut
+from kinweave.operators.skew import counted_join, salted_join
+from kinweave.session import cut, cut_counting
 
-READINGS = 2  # interpretations of one address that go on to the join, each with all localities that agree equally
 ALIKE = 0.78
 LEAST_SCORE = 1.0  # of a locality that an address may mean
+SLACK = 0.4  # readings and localities whose score comes so near the best one's stay in the search
+KNOWN_STREET = 0.4  # what a street that other addresses name in a locality adds to the score
 
 # Postal abbreviations.
 STATES = """
@@ -58,17 +59,20 @@ def tidy(word: str) -> str:
 
 
 def near(word: str, known: dict[str, str]) -> str | None:
-    """The known long word that a word is a typing of, with its first or its last letter right."""
+    """The known long word that a word is a typing of."""
     if len(word) < 4 or any(c.isdigit() for c in word):
         return None
-    cache = kept("near_words", dict)
-    key = (word, len(known))
-    if key not in cache:
+    cache = kept("near_words", dict).setdefault(id(known), {})  # the tables are constants of this module
+    if word not in cache:
         if len(cache) > 200_000:
             cache.clear()
-        best = max(((ratio(word, k), k) for k in known if len(k) > 3 and abs(len(k) - len(word)) < 3 and (k[0] == word[0] or k[-1] == word[-1])), default=(0.0, ""))
-        cache[key] = known[best[1]] if best[0] >= 0.8 else None
-    return cache[key]
+        best, letters = (0.0, ""), set(word)
+        for k in known:
+            both = len(k) + len(word)
+            if len(k) > 3 and 2 * min(len(k) - len(set(k) - letters), len(word) - len(letters - set(k))) >= 0.8 * both:
+                best = max(best, (ratio(word, k), k))
+        cache[word] = known[best[1]] if best[0] >= 0.8 else None
+    return cache[word]
 
 
 def street_key(words: list[str]) -> str:
@@ -220,6 +224,7 @@ class Places:
             for x in self.deletions(c):
                 self.typed[x].add(c)
         self.cache: dict[str, list[tuple[float, str]]] = {}
+        self.found: dict[tuple[str, str, str], list[tuple[float, str]]] = {}
 
     @staticmethod
     def deletions(word: str) -> set[str]:
@@ -240,116 +245,168 @@ class Places:
                 self.cache[name] = [x for x in scored if x[0] >= ALIKE]
         return self.cache[name]
 
-    def resolve(self, options: list[Reading]) -> list[tuple[float, str, Reading]]:
-        """Every reading is extended by all localities it may mean; they are ranked."""
-        beam: list[tuple[float, str, Reading]] = []
-        for r in options:
-            extended = []
-            if r.zip in self.by_zip:
-                city, state = self.by_zip[r.zip]
-                agree = ratio(r.city, city) if r.city else 0.6
-                extended.append((2.0 + (agree if agree >= 0.6 else -2.0 * (1 - agree)) + (0.3 if r.state == state else -0.5 if r.state else 0.0), r.zip))
-            elif r.zip:
-                extended.append((1.4, r.zip))
-            elif r.city:
-                for agree, city in self.cities(r.city):
-                    for z, s in self.by_city[city]:
-                        extended.append((1.0 + agree + (0.5 if s == r.state else -1.5 if r.state else 0.0), z))
-            extended = [x for x in extended if x[0] >= LEAST_SCORE]
-            if not extended and r.city:
-                extended.append((LEAST_SCORE, f"{r.city} {r.state}"))
-            if not r.core:
-                extended = [(s - 1.0, z) for s, z in extended]
-            beam += [(s + r.score, z, r) for s, z in extended]
-        return sorted(beam, key=lambda x: (-x[0], x[1], x[2].core))
+    def localities(self, city: str, state: str, zip_: str) -> list[tuple[float, str]]:
+        """All localities that a place as written may mean, each with a score: `z` and a zip, or `c`, a city and a state.
+
+        A city stands for all its zips. A zip that contradicts the city gives way to it, one that nobody else names does not
+        exclude it. A place that is not in the gazetteer means itself.
+        """
+        key = (city, state, zip_)
+        if key not in self.found:
+            if len(self.found) > 200_000:
+                self.found.clear()
+            out, less = [], 0.0
+            if zip_ in self.by_zip:
+                known, its = self.by_zip[zip_]
+                agree = ratio(city, known) if city else 0.6
+                out.append((2.0 + (agree if agree >= 0.6 else -2.0 * (1 - agree)) + (0.3 if state == its else -0.5 if state else 0.0), f"z{zip_}"))
+                less = None if agree >= 0.6 else 1.0
+            elif zip_:
+                out.append((1.4, f"z{zip_}"))
+                less = 1.0
+            if city and less is not None:
+                for agree, name in self.cities(city):
+                    out += [(1.0 + agree + (0.5 if s == state else -1.5 if state else 0.0) - less, f"c{name}|{s}") for s in sorted({s for _, s in self.by_city[name]})]
+            out = [x for x in out if x[0] >= LEAST_SCORE]
+            if not out and city:
+                out.append((LEAST_SCORE, f"c{city}|{state}"))
+            self.found[key] = out
+        return self.found[key]
 
 
 def gazetteer_places(parsed: DataFrame) -> list[tuple[str, str, str]]:
     """(zip, city, state): for each zip the place name most addresses give it. At most 100,000 rows, as zips have 5 digits."""
-    known = parsed.where("zip <> '' AND state <> '' AND length(city) > 2 AND _only").groupBy("zip", "city", "state").agg(F.sum("_n").alias("_m"))
+    whole = parsed.where("zip <> '' AND state <> '' AND length(city) > 2 AND _only").select("_fid", "_n", "zip", "city", "state").distinct()
+    known = whole.groupBy("zip", "city", "state").agg(F.sum("_n").alias("_m"))
     best = known.groupBy("zip").agg(F.max_by(F.struct("city", "state"), F.struct("_m", "city")).alias("b"))
     return [(r[0], r[1], r[2]) for r in best.select("zip", "b.city", "b.state").collect()]
 
 
 def street_ids(streets: DataFrame) -> DataFrame:
-    """(zip, core, street): spellings (zip, core, _m) clustered within their zip.
+    """(place, core, street): spellings (place, core, _m) clustered within their place.
 
-    Two spellings are close if they agree after deleting one letter from either or both; each points to its most
-    frequent close spelling if that is more frequent, or as frequent and alphabetically first, else to itself, and
-    pointers are followed twice. Ordinals and spellings of fewer than four letters stay alone. Deletion keys make this
-    an equi-join within the zip, never a comparison of all streets of a place.
+    Two spellings are close if they agree after deleting one letter from either or both. Each points to the most central
+    close spelling, its own frequency counting thrice and its close ones' once (ties: the alphabetically last), and
+    pointers are followed to their end. Ordinals and spellings of fewer than four letters stay alone. Deletion keys make this
+    an equi-join within the place, never a comparison of all its streets; so few spellings can share one (an added
+    letter each) that they are gathered.
     """
     letters = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))
     fuzzy = (F.length("core") > 3) & ~F.contains("core", F.lit("#"))
-    keyed = cut(streets.where(fuzzy).select("zip", "core", "_m", F.explode(F.array_distinct(F.array_append(letters, F.col("core")))).alias("_k")))
-    best = keyed.groupBy("zip", "_k").agg(F.max(F.struct("_m", F.col("core"))).alias("_b"))
-    up = keyed.join(best, ["zip", "_k"]).groupBy("zip", "core").agg(F.max(F.struct("_b._m", "_b.core")).alias("_b"))
-    first = cut(streets.join(up, ["zip", "core"], "left").select("zip", "core", F.coalesce("_b.core", "core").alias("street")))
-    for _ in range(2):
-        above = first.select("zip", F.col("core").alias("street"), F.col("street").alias("_up"))
-        first = first.join(above, ["zip", "street"]).select("zip", "core", F.col("_up").alias("street"))
-    return first
-
-
-def same_locations(df: DataFrame, row_id: str, address: str) -> DataFrame:
-    """(idx1, idx2), idx1 < idx2: records whose addresses denote the same location while their normal forms differ.
-
-    Distinct normal forms are read into number, unit, street and place. Readings that name zip, state and place give
-    the gazetteer's localities; a search resolves every address, complete or not, to its likeliest localities, all of them
-    where several agree equally, as the zips of a city do for an address without zip.
-    Street spellings are clustered within localities and get identifiers; addresses are joined on street identifier
-    and number. Units, directions and kinds of street must not contradict each other; any may be missing. Matches are
-    expanded to records. Missing values, texts without a number, and places that no complete address names match
-    nothing.
+    keyed = streets.where(fuzzy).select("place", "core", "_m", F.explode(F.array_distinct(F.array_append(letters, F.col("core")))).alias("_d"))
+    shared = keyed.groupBy(F.xxhash64("place", "_d").alias("_k")).agg(F.collect_list(F.struct("place", "core", "_m")).alias("_g")).where("size(_g) > 1")
+    near = cut(shared.select("_k", F.aggregate("_g", F.lit(0.0), lambda n, x: n + x["_m"]).alias("_s"), F.inline("_g")))
+    central = near.groupBy("place", "core").agg((3 * F.first("_m") + F.sum(F.col("_s") - F.col("_m"))).alias("_c"))
+    ranked = cut(near.select("_k", "place", "core").join(central, ["place", "core"]))
+    up = ranked.join(ranked.groupBy("_k").agg(F.max(F.struct("_c", "core")).alias("_b")), "_k").groupBy("place", "core").agg(F.max("_b").alias("_b"))
+    moves, seen = cut_counting(up.where("_b.core <> core").select("place", "core", F.col("_b.core").alias("street")), open=F.count("*"))
+    while seen["open"]:
+        above = moves.select("place", F.col("core").alias("street"), F.col("street").alias("_up"))
+        step = moves.join(above, ["place", "street"], "left").select("place", "core", F.coalesce("_up", "street").alias("street"), F.col("_up").isNotNull().alias("_open"))
+        moves, seen = cut_counting(step, open=F.count_if("_open"))
+        moves = moves.drop("_open")
+    return streets.join(moves, ["place", "core"], "left").select("place", "core", F.coalesce("street", "core").alias("street"))
+
+
+def _streets(found: DataFrame, known: list[tuple[str, str, str]]) -> DataFrame:
+    """(place, core, _rows, sid, _all): the street identifiers that a spelling may mean in a place, and how many addresses name each.
+
+    Spellings are clustered within a locality, all its zips and the addresses without zip together, so that a spelling used
+    without zip can connect others. The gazetteer's entries are these clusters by zip. A city means the entries of all
+    its zips; a cluster that none of them has is an entry of the city.
     """
+    cores = cut(found.groupBy("place", "core").agg(F.sum(F.when(F.col("_top"), F.col("_share")).otherwise(0.0)).alias("_m"), F.count("*").alias("_rows")))
+    towns = F.broadcast(found.sparkSession.createDataFrame([(f"z{z}", f"c{c}|{s}") for z, c, s in known], "place string, _town string"))  # at most 100,000 rows
+    spelled = cut(cores.join(towns, "place", "left").withColumn("_town", F.coalesce("_town", "place")))
+    groups = street_ids(cut(spelled.groupBy(F.col("_town").alias("place"), "core").agg(F.sum("_m").alias("_m"))))
+    named = cut(spelled.join(groups.select(F.col("place").alias("_town"), "core", F.col("street").alias("_g")), ["_town", "core"]))
+    entries = named.where(F.col("place").startswith("z")).groupBy("_town", "place", "_g").agg(F.sum("_m").alias("_all"))
+    entries = cut(entries.select("_town", F.col("place").alias("_zip"), "_g", "_all"))
+    sid = lambda place: F.concat(F.col(place), F.lit(" "), F.col("_g"))
+    in_zip = named.where(F.col("place").startswith("z")).join(entries.select(F.col("_zip").alias("place"), "_g", "_all"), ["place", "_g"])
+    in_city = named.where(F.col("place").startswith("c")).join(entries, ["_town", "_g"], "left")
+    by_zip = in_zip.select("place", "core", "_rows", sid("place").alias("sid"), "_all")
+    return cut(by_zip.unionByName(in_city.select("place", "core", "_rows", F.coalesce(sid("_zip"), sid("place")).alias("sid"), F.coalesce("_all", F.lit(0.0)).alias("_all"))))
+
+
+def matching_locations(df: DataFrame, row_id: str, address: str) -> tuple[DataFrame, DataFrame]:
+    """((f1, f2) of normal forms that denote one location, (_row, _fid, _n) of the records): see same_locations."""
     rows = df.where(is_present(F.col(address).cast("string"))).select(F.col(row_id).alias("_row"), normal_form(F.col(address).cast("string")).alias("_form"))
-    forms = cut(rows.groupBy("_form").agg(F.count("*").alias("_n")).withColumn("_fid", F.monotonically_increasing_id()))
-    fields = "zip string, city string, state string, _n long, _only boolean"
+    forms, total = cut_counting(rows.groupBy("_form").agg(F.count("*").alias("_n")).withColumn("_fid", F.monotonically_increasing_id()), n=F.sum("_n"))
+    members = cut(salted_join(rows, forms, ["_form"], "_n", total["n"] or 0).select("_row", "_fid", "_n"))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = ["number", "unit", "core", "kind", "direction", "city", "state", "zip"]
 
     def read(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for form, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, columns, scores, only = [], [[] for _ in texts], [], []
+            for i, form in enumerate(batch.column(1).to_pylist()):
                 options = readings(form)
                 top = max((r.score for r in options), default=0.0)
-                seen = {(r.zip, r.city, r.state) for r in options if r.score == top}
-                for z, c, s in seen:
-                    for column, v in zip(out, (z, c, s, n, len(seen) == 1)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_())], ["zip", "city", "state", "_n", "_only"])
-
-    known = gazetteer_places(forms.select("_form", "_n").mapInArrow(read, fields))
+                single = len({(r.zip, r.city, r.state) for r in options if r.score == top}) == 1
+                for r in options:
+                    at.append(i)
+                    for column, name in zip(columns, texts):
+                        column.append(getattr(r, name))
+                    scores.append(r.score)
+                    only.append(single and r.score == top)
+            ids = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(2).take(ids), *[pa.array(c, pa.string()) for c in columns], pa.array(scores, pa.float64()), pa.array(only, pa.bool_())], ["_fid", "_n", *texts, "score", "_only"])
+
+    parsed = cut(forms.select("_fid", "_form", "_n").repartition(spread).mapInArrow(read, f"_fid long, _n long, {', '.join(f'{c} string' for c in texts)}, score double, _only boolean"))
+    known = gazetteer_places(parsed)
     shared = df.sparkSession.sparkContext.broadcast(known)
-    columns = ["_fid", "_n", "zip", "number", "core", "kind", "direction", "unit"]
 
-    def resolve(batches):
+    def locate(batches):
         places = kept(f"places_{hash(tuple(shared.value))}", lambda: Places(shared.value))
         for batch in batches:
-            out = [[] for _ in columns]
-            for fid, form, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                given, groups = set(), set()
-                beam = places.resolve(readings(form))
-                for score, z, r in beam:
-                    if score < beam[0][0] - 0.4:
-                        break
-                    if not r.core or (z, r.number, r.core) in given:
-                        continue
-                    if (score, r) not in groups and len(groups) >= READINGS:
-                        continue
-                    groups.add((score, r))
-                    given.add((z, r.number, r.core))
-                    for column, v in zip(out, (fid, n, z, r.number, r.core, r.kind, r.direction, r.unit)):
-                        column.append(v)
-            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], columns)
-
-    resolved = cut(forms.select("_fid", "_form", "_n").mapInArrow(resolve, "_fid long, _n long, zip string, number string, core string, kind string, direction string, unit string"))
-    streets = street_ids(cut(resolved.groupBy("zip", "core").agg(F.sum("_n").alias("_m"), F.count("*").alias("_k"))))
-    placed = cut(resolved.join(streets, ["zip", "core"]).select("_fid", "zip", "street", "number", "kind", "direction", "unit"))
-    sides = [placed.select("zip", "street", "number", *[F.col(c).alias(f"{c}{i}") for c in ("_fid", "kind", "direction", "unit")]) for i in (1, 2)]
+            at, names, scores = [], [], []
+            for i, (core, city, state, zip_, score) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("core", "city", "state", "zip", "score")))):
+                if core:
+                    for more, place in places.localities(city, state, zip_):
+                        at.append(i)
+                        names.append(place)
+                        scores.append(score + more)
+            ids = pa.array(at, pa.int64())
+            kept_columns = ["_fid", "_n", "number", "unit", "core", "kind", "direction"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(ids) for c in kept_columns], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept_columns, "place", "score"])
+
+    located = parsed.drop("_only").mapInArrow(locate, "_fid long, _n long, number string, unit string, core string, kind string, direction string, place string, score double")
+    best = Window.partitionBy("_fid")  # one address's readings
+    beam = located.withColumn("_best", F.max("score").over(best)).where(F.col("score") >= F.col("_best") - SLACK - KNOWN_STREET)
+    beam = beam.withColumn("_top", F.col("score") == F.col("_best")).withColumn("_share", F.col("_n") / F.count_if("_top").over(best))
+    found, n_found = cut_counting(beam.drop("_best"), n=F.count("*"))
+    ways = counted_join(found, _streets(found, known), ["place", "core"], "_rows", n_found["n"])
+    others = F.col("_all") - F.when(F.col("_top") & F.col("place").startswith("z"), F.col("_share")).otherwise(0.0)
+    scored = ways.withColumn("score", F.col("score") + F.when(others >= 0.5, KNOWN_STREET).otherwise(0.0))
+    resolved = scored.withColumn("_best", F.max("score").over(best)).where(F.col("score") >= F.col("_best") - SLACK)
+    placed = cut(resolved.select("_fid", "sid", "number", "kind", "direction", "unit").distinct())
+    side = lambda i: placed.select("sid", "number", *[F.col(c).alias(f"{c}{i}") for c in ("_fid", "kind", "direction", "unit")])
     free = lambda c: (F.col(f"{c}1") == F.col(f"{c}2")) | (F.col(f"{c}1") == "") | (F.col(f"{c}2") == "")
-    matches = sides[0].join(sides[1], ["zip", "street", "number"]).where((F.col("_fid1") < F.col("_fid2")) & free("kind") & free("direction") & free("unit"))
-    matches = cut(matches.select(F.col("_fid1").alias("f1"), F.col("_fid2").alias("f2")).distinct())
-    total = forms.agg(F.sum("_n")).first()[0] or 0
-    members = cut(salted_join(rows, forms, ["_form"], "_n", total).select("_row", "_fid", "_n"))
-    return expand_pairs(matches, members)
+    agree = free("kind") & free("direction") & (F.col("_fid1") != F.col("_fid2"))
+    # A unit is part of the key; an address without one stands for any.
+    equal = side(1).where("unit1 <> ''").withColumnRenamed("unit1", "unit").join(side(2).withColumnRenamed("unit2", "unit"), ["sid", "number", "unit"])
+    blank = side(1).where("unit1 = ''").join(side(2), ["sid", "number"])
+    ends = [F.least("_fid1", "_fid2").alias("f1"), F.greatest("_fid1", "_fid2").alias("f2")]
+    return cut(equal.where(agree).select(*ends).unionByName(blank.where(agree).select(*ends)).distinct()), members
+
+
+def same_locations(df: DataFrame, row_id: str, address: str) -> DataFrame:
+    """(idx1, idx2), idx1 < idx2: records whose addresses denote the same location while their normal forms differ.
+
+    Distinct normal forms are read into number, unit, street and place, in every way their grammar allows. Readings that name zip,
+    state and place give the gazetteer's localities, and the streets in them, whose spellings are clustered, its
+    entries. A search extends every reading by the localities it may mean and these by the streets that they have,
+    and keeps what comes near the best, however much it is: an address without zip is looked up in all zips of its
+    city, and its street decides among them. Addresses are joined on street identifier, number and unit; one without
+    unit joins any. Directions and kinds of street must not contradict each other; any may be missing. Matches are
+    expanded to records in chunks. Missing values and texts without a number match nothing; places and streets that no
+    complete address names match only their own spellings.
+    """
+    return expand_pairs(*matching_locations(df, row_id, address))
+
+
+def location_links(df: DataFrame, row_id: str, address: str) -> DataFrame:
+    """(row_id, class_id, links) of every record whose address is not missing: the smallest record of its normal form, and how many
+    records of other forms denote its location."""
+    return form_links(*matching_locations(df, row_id, address)).withColumnRenamed("_row", row_id)

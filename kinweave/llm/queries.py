@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import contamination, encoding, subjects
-from kinweave.llm.addresses import same_locations
+from kinweave.llm.addresses import location_links, same_locations
 from kinweave.llm.copies import formatting_copies
 from kinweave.llm.distinctive import PRIOR_WORDS, most_distinctive, term_scores
 from kinweave.llm.frequency import frequencies
@@ -96,6 +96,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_locations(table(spark, folder, "scan"), "row_idx", "BorrowerAddress")
 
 
+@query()
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with an address, its class of equal normal forms and its number of records of the same location."""
+    return location_links(table(spark, folder, "scan"), "row_idx", "BorrowerAddress")
+
+
 _BAGS = f"SELECT row_idx, list_sort(list_concat(coalesce({_WORDS.format(c='BorrowerName')}, []), coalesce({_WORDS.format(c='BorrowerAddress')}, []))) AS bag FROM scan"
 
 

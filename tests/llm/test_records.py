@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm.addresses import readings, same_locations, street_key
+from kinweave.llm.addresses import location_links, readings, same_locations, street_key
 from kinweave.llm.copies import encode_values, formatting_copies
 from kinweave.llm.distinctive import most_distinctive, term_scores
 from kinweave.llm.frequency import frequencies
@@ -244,6 +244,22 @@ def test_address_without_zip_in_a_city_of_many(spark):
     assert got == {(i, 100 + i) for i in range(len(zips))} | {(8, 200), (108, 200)}
 
 
+def test_the_street_decides_among_the_zips_of_a_city(spark):
+    zips = range(62700, 62709)
+    rows = [(i, f"{3 + i} {'Main' if z == 62708 else 'Oak' if z < 62704 else 'Elm'} St, Springfield, IL {z}") for i, z in enumerate(zips)]
+    rows += [(50, "11 Main St, Springfield, IL 62708"), (51, "12 Main Street, Springfield, IL 62708-1234"), (100, "12 main st springfield il"), (101, "11 Mian St Springfield Illinois")]
+    got = {tuple(r) for r in same_locations(frame(spark, rows, "row_idx long, a string"), "row_idx", "a").collect()}
+    assert got == {(51, 100), (8, 50), (8, 101), (50, 101)} - {(8, 50)}
+
+
+def test_units_join_their_own_and_blank_ones(spark):
+    rows = [(i, f"14 Fair Gate Rd{u}, Ravenshaw, OR 80210") for i, u in enumerate(["", " Apt 1", " unit 1", " Apt 2", " # 2"])]
+    got = {tuple(r) for r in same_locations(frame(spark, rows, "row_idx long, a string"), "row_idx", "a").collect()}
+    assert got == {(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (3, 4)}
+    links = {r.row_idx: (r.class_id, r.links) for r in location_links(frame(spark, rows, "row_idx long, a string"), "row_idx", "a").collect()}
+    assert links == {0: (0, 4), 1: (1, 2), 2: (2, 2), 3: (3, 2), 4: (4, 2)}
+
+
 # 6
 
 
