@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import mail
 from kinweave.llm.worker import kept
-from kinweave.operators.skew import salted_join
-from kinweave.session import cut
+from kinweave.operators.skew import LEAST_HEAVY, counted_join
+from kinweave.session import cut, cut_counting
 
 SPAN = 10  # words of the shortest passage that counts
 GRAM = 5  # words of a fingerprinted k-gram
-MOST_TEST_HASHES = 4_000_000  # 32 MB; beyond, corpus fingerprints are joined by a shuffle
+MOST_TEST_HASHES = 250_000  # fingerprints of about 200 bytes each with their contexts, 50 MB; beyond, corpus fingerprints are joined by a shuffle
 WORDS_KEPT = 500_000
 ROWS = 512
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -73,6 +73,52 @@ def winnow(sequences: list[list[str]], gram: int, span: int) -> tuple[np.ndarray
     return owner[at], mixed[at].view(np.int64), at, word
 
 
+def spans(sequences: list[list[str]], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the span words from each place on, whether they lie in one sequence), for the words of all sequences together."""
+    hashes = kept("word_hashes", _Hashes)
+    if len(hashes) > WORDS_KEPT:
+        hashes.clear()
+    lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
+    n = int(lengths.sum())
+    m = max(0, n - span + 1)
+    word = np.fromiter((hashes[w] for s in sequences for w in s), dtype=np.uint64, count=n)
+    owner = np.repeat(np.arange(len(sequences)), lengths)
+    mixed = np.zeros(m, np.uint64)
+    for j in range(span if m else 0):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + word[j : j + m]
+    return mixed, owner[:m] == owner[n - m :] if m else np.zeros(0, bool)
+
+
+def known_spans(items: DataFrame, text: str, span: int = SPAN, most: int = 16 * MOST_TEST_HASHES) -> np.ndarray:
+    """The sorted hashes of all runs of span words of the items, for workers to look up; at most `most` (32 MB), else this raises."""
+
+    def run(batches):
+        for batch in batches:
+            mixed, inside = spans([word_list(t) for t in batch.column(0).to_pylist() if t], span)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(mixed[inside]).view(np.int64))], ["hash"])
+
+    found = items.select(text).mapInArrow(run, "hash long").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the items have more than {most} runs of {span} words")
+    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def copied_shares(sequences: list[list[str]], known: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Of each word sequence, the share of its words that lie in a run of span words of the items."""
+    mixed, inside = spans(sequences, span)
+    lengths = np.fromiter(map(len, sequences), dtype=np.int64, count=len(sequences))
+    n = int(lengths.sum())
+    covered = np.zeros(n + 1, np.int64)
+    if len(mixed) and len(known):
+        at = np.minimum(np.searchsorted(known, mixed), len(known) - 1)
+        hits = np.flatnonzero((known[at] == mixed) & inside)
+        np.add.at(covered, hits, 1)
+        np.add.at(covered, hits + span, -1)
+    inside_run = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
+    ends = np.cumsum(lengths)
+    return (inside_run[ends] - inside_run[ends - lengths]) / np.maximum(lengths, 1)
+
+
 def fingerprints(df: DataFrame, row_id: str, text: str, texts_of, gram: int = GRAM, span: int = SPAN, only: np.ndarray | None = None) -> DataFrame:
     """(row_id, hash, context): a text's selected k-grams with the hashes of the words around each.
 
@@ -122,15 +168,19 @@ def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     side = span - gram
     tests = cut(fingerprints(items, item_id, item_text, plain_texts, gram, span).withColumnRenamed("context", "_item_context"))
     known = tests.select("hash").distinct()
-    small = known.count() <= most_test_hashes
+    small = tests.count() <= most_test_hashes
     only = np.sort(np.array([r[0] for r in known.collect()], dtype=np.int64)) if small else None
     found = fingerprints(docs, doc_id, doc_text, texts_of, gram, span, only)
     if small:
-        joined = found.join(F.broadcast(tests), "hash") if tests.count() <= most_test_hashes else found.join(tests, "hash")
+        joined = found.join(F.broadcast(tests), "hash")
     else:
-        found = cut(found)
-        counts = found.groupBy("hash").agg(F.count("*").alias("_n")).join(tests.groupBy("hash").agg(F.collect_set(F.struct(item_id, "_item_context")).alias("_items")), "hash")
-        joined = salted_join(found, counts, ["hash"], "_n", found.count()).select("*", F.inline("_items"))
+        found, seen = cut_counting(found, n=F.count("*"))
+        counts = cut(found.groupBy("hash").agg(F.count("*").alias("_n")).join(known, "hash", "left_semi"))
+        salts = lambda: F.floor((F.col("_n") - 1) / F.lit(LEAST_HEAVY))
+        # A common phrase's fingerprints are dealt to salts, and the items' rows of it repeated for each.
+        dealt = counted_join(found, counts, ["hash"], "_n", seen["n"]).withColumn("_salt", F.pmod(F.xxhash64(doc_id, "context"), salts() + 1)).drop("_n")
+        repeated = tests.join(counts, "hash").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts()))).drop("_n")
+        joined = dealt.join(repeated, ["hash", "_salt"])
     same = F.zip_with("context", "_item_context", lambda a, b: F.coalesce(a == b, F.lit(False)))
     agrees = F.exists(F.sequence(F.lit(1), F.lit(side + 1)), lambda s: F.forall(F.slice(F.col("_same"), s, F.lit(span)), lambda x: x))
     return joined.withColumn("_same", same).where(agrees).select(doc_id, item_id).distinct()

@@ -19,7 +19,13 @@ _QUOTE_OUT = re.compile(r"</blockquote\s*>", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|tr|table|ul|ol|li|h[1-6]|hr|section|article|pre)\b[^>]*>", re.I)
 _LINE = re.compile(r"[ \t]*\n?<br\b[^>]*>\n?", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
-DEPTH = 20
+_NAME = re.compile(r"name\*?[ \t]*=[ \t]*\"?[^\";\n]*\.(\w+)", re.I)
+# Fields of which one at least stands in the head of a mail or of a part, and endings of text files.
+_KNOWN = re.compile(
+    r"^(?:from|to|cc|bcc|subject|date|message-id|in-reply-to|references|received|return-path|reply-to|sender|delivered-to|mime-version|content-[a-z-]+|x-[a-z-]+|list-[a-z-]+)[ \t]*:",
+    re.I | re.M,
+)
+TEXT_FILES = "txt text log md csv tsv rst tex htm html".split()
 
 
 def _fields(head: str) -> dict[str, str]:
@@ -27,10 +33,10 @@ def _fields(head: str) -> dict[str, str]:
 
 
 def split_head(text: str) -> tuple[str, str]:
-    """Header block and body; a text that does not start with header lines is all body."""
+    """Header block and body; a text that does not start with header lines, a mail's or a part's field among them, is all body."""
     text = text.lstrip("\n")
     m = _HEADER.match(text)
-    if not m:
+    if not m or not _KNOWN.search(m.group()):
         return "", text
     head = m.group()
     body = text[m.end() :]
@@ -85,55 +91,45 @@ def from_html(text: str) -> str:
     return html.unescape(_TAG.sub("", text))
 
 
-def parts(text: str | None, _depth: int = 0) -> Iterator[tuple[str, bool, str]]:
-    """(kind, attached, text) of every text part, decoded and without markup.
+def parts(text: str | None) -> Iterator[tuple[str, bool, str]]:
+    """(kind, attached, text) of every text part, decoded and without markup, however deeply it is nested.
 
     kind is `plain` or `html`; the parts of one multipart/alternative are all given. Null and empty texts have none.
-    Parts of other types are left out. A multipart without its boundary is read as text.
+    Parts of other types are left out, unless their file name has a text file's ending. A multipart without its boundary
+    is read as text.
     """
-    if not text:
-        return
-    if _depth == 0:
-        text = _BREAKS.sub("\n", text)
-    yield from _walk(text, _depth)
-
-
-def _walk(text: str, depth: int) -> Iterator[tuple[str, bool, str]]:
-    head, body = split_head(text)
-    f = _fields(head)
-    kind = f.get("content-type", "text/plain").strip().lower()
-    if kind.startswith("multipart/"):
-        m = _BOUNDARY.search(f["content-type"])
-        mark = "--" + (m.group(1) or m.group(2)) if m else None
-        if mark and depth < DEPTH and (body.startswith(mark) or "\n" + mark in body):
-            pieces = ("\n" + body).split("\n" + mark)
-            for piece in pieces[1:]:
-                if piece.startswith("--"):
-                    break
-                piece = piece.partition("\n")[2]
-                if piece.startswith("\n"):
-                    piece = "Content-Type: text/plain\n" + piece
-                yield from _walk(piece, depth + 1)
+    waiting = [_BREAKS.sub("\n", text)] if text else []
+    while waiting:
+        head, body = split_head(waiting.pop())
+        f = _fields(head)
+        kind = f.get("content-type", "text/plain").strip().lower()
+        if kind.startswith("multipart/"):
+            m = _BOUNDARY.search(f["content-type"])
+            mark = "--" + (m.group(1) or m.group(2)) if m else None
+            if mark and (body.startswith(mark) or "\n" + mark in body):
+                waiting += reversed(list(_pieces(body, mark)))
+                continue
+            kind = "text/plain"
+        encoding = f.get("content-transfer-encoding", "")
+        if kind.startswith("message/"):
+            waiting.append(decode(body, encoding, "utf-8"))
+            continue
+        if not kind.startswith("text/") and "/" in kind:
+            m = _NAME.search(f.get("content-type", "")) or _NAME.search(f.get("content-disposition", ""))
+            ending = m.group(1).lower() if m else ""
+            if ending not in TEXT_FILES:
+                continue
+            kind = "text/html" if ending.startswith("htm") else "text/plain"
+        m = _CHARSET.search(f.get("content-type", ""))
+        out = _repair(decode(body, encoding, m.group(1) if m else "utf-8"))
+        out = _BREAKS.sub("\n", out)
+        attached = f.get("content-disposition", "").strip().lower().startswith("attachment")
+        yield ("html", attached, from_html(out)) if kind.startswith("text/html") else ("plain", attached, out)
+
+
+def _pieces(body: str, mark: str) -> Iterator[str]:
+    for piece in ("\n" + body).split("\n" + mark)[1:]:
+        if piece.startswith("--"):
             return
-        kind = "text/plain"
-    if kind.startswith("message/"):
-        if depth < DEPTH:
-            yield from _walk(decode(body, f.get("content-transfer-encoding", ""), "utf-8"), depth + 1)
-        return
-    if not kind.startswith("text/") and "/" in kind:
-        return
-    m = _CHARSET.search(f.get("content-type", ""))
-    out = _repair(decode(body, f.get("content-transfer-encoding", ""), m.group(1) if m else "utf-8"))
-    out = _BREAKS.sub("\n", out)
-    attached = f.get("content-disposition", "").strip().lower().startswith("attachment")
-    if kind.startswith("text/html"):
-        yield "html", attached, from_html(out)
-    else:
-        yield "plain", attached, out
-
-
-def reader_texts(text: str | None) -> list[str]:
-    """The texts a reader sees: the plain form where there is one, else the HTML form; attachments are left out."""
-    found = [(kind, t) for kind, attached, t in parts(text) if not attached]
-    plain = [t for kind, t in found if kind == "plain" and t.strip()]
-    return plain or [t for kind, t in found if kind == "html"]
+        piece = piece.partition("\n")[2]
+        yield "Content-Type: text/plain\n" + piece if piece.startswith("\n") else piece

@@ -156,5 +156,6 @@ SUBJECTS = "science law sport software medicine finance travel food".split()
 @query()
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    theta = subjects.train(docs, "doc_id", "text", table(spark, folder, "subject_labels"), "subject", SUBJECTS, table(spark, folder, "benchmark"))
-    return subjects.document_subjects(docs, "doc_id", "text", theta, SUBJECTS)
+    known = subjects.held_out_spans(table(spark, folder, "benchmark"))
+    theta = subjects.train(docs, "doc_id", "text", table(spark, folder, "subject_labels"), "subject", SUBJECTS, known)
+    return subjects.document_subjects(docs, "doc_id", "text", theta, SUBJECTS, known=known)

@@ -9,20 +9,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm import mail
+from kinweave.llm import contamination, mail
 from kinweave.llm.worker import kept
 from kinweave.session import cut
 
 BUCKETS, DIM, SEED = 1 << 15, 12, 11
 LABELLED_DOCS = 6_000  # bound of the labelled documents that are fitted, the first by hash
-PSEUDO_DOCS = 6_000  # bound of the documents whose own predictions are fitted in the second stage
-NEGATIVES = 6_000  # bound of the texts that are given as treating no subject
 PARTS, STEPS, RATE, REFITS = 4, 12, 0.1, 2  # few steps: words of many paragraphs are learnt before those of a few
-SURE, LEAD = 0.35, 1.5  # a prediction is fitted again if it is so probable and so far ahead of the second
+SURE, LEAD = 0.35, 1.5  # a paragraph is given its best subject if that is so probable and so far ahead of the second
+NONE = 0.2  # and none if no subject is so probable
+COPIED = 0.3  # share of a paragraph's words in passages of the held-out items from which on it does not count
+GRAM = 4  # letters of a subword
 SENTENCES = 3
 ROWS = 256
 
@@ -59,15 +59,28 @@ def paragraphs(text: str, sentences: int = SENTENCES) -> list[str]:
     return out
 
 
-def mail_paragraphs(text: str | None) -> list[list[str]]:
-    """The word lists of the distinct long paragraphs a reader sees; attachments are left out."""
-    seen = dict.fromkeys(p for _, attached, t in mail.parts(text) if not attached for p in paragraphs(t))
-    return [_WORD(p.lower()) for p in seen]
+def mail_paragraphs(text: str | None) -> list[str]:
+    """The distinct long paragraphs a reader sees; attachments are left out."""
+    return list(dict.fromkeys(p for _, attached, t in mail.parts(text) if not attached for p in paragraphs(t)))
+
+
+def own_paragraphs(texts: list[str | None], known: np.ndarray) -> tuple[list[int], list[list[str]]]:
+    """(number of the text, words) of every long paragraph that is not mostly copied from the items whose runs are known."""
+    rows, found = [], []
+    for i, t in enumerate(texts):
+        for p in mail_paragraphs(t):
+            rows.append(i)
+            found.append(p)
+    if len(known) and found:
+        copied = contamination.copied_shares([contamination.word_list(p) for p in found], known) >= COPIED
+        rows, found = [i for i, c in zip(rows, copied) if not c], [p for p, c in zip(found, copied) if not c]
+    return rows, [_WORD(p.lower()) for p in found]
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word, its beginning and its end."""
-    parts = (word, f"<{word[:4]}", f"{word[-4:]}>") if len(word) > 4 else (word,)
+    """Buckets of a word and of its character n-grams, its ends marked."""
+    marked = f"<{word}>"
+    parts = [word, *(marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1))] if len(word) > 3 else [word]
     return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts]
 
 
@@ -112,7 +125,7 @@ class Fit:
 
 
 def fit(examples: DataFrame, n_subjects: int, steps: int = STEPS) -> np.ndarray:
-    """Parameters fitted on (words ARRAY<STRING>, target ARRAY<DOUBLE>) rows, which are bounded and in fixed partitions.
+    """Parameters fitted on (words ARRAY<STRING>, target ARRAY<DOUBLE>, part INT) rows, which are bounded and dealt to fixed parts.
 
     In each step all partitions compute the gradient of their paragraphs from the shared parameters; the driver adds
     the gradients up, one vector of about 400,000 numbers per partition, and takes an Adam step.
@@ -124,8 +137,8 @@ def fit(examples: DataFrame, n_subjects: int, steps: int = STEPS) -> np.ndarray:
         shared = examples.sparkSession.sparkContext.broadcast(theta.astype(np.float32))
 
         def run(batches, shared=shared):
-            held = kept("fits", dict)
-            key = (token, TaskContext.get().partitionId())
+            held, batches = kept("fits", dict), list(batches)
+            key = (token, *sorted({(p, sum(b.num_rows for b in batches)) for b in batches for p in b.column(2).unique().to_pylist()}))
             if key not in held:
                 texts, targets = [], []
                 for batch in batches:
@@ -138,7 +151,7 @@ def fit(examples: DataFrame, n_subjects: int, steps: int = STEPS) -> np.ndarray:
                 g = held[key].gradient(shared.value.astype(np.float64)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([len(held[key].lengths)]), pa.array([g.tobytes()])], ["n", "gradient"])
 
-        parts = examples.select("words", "target").mapInArrow(run, "n long, gradient binary").collect()  # one row a partition
+        parts = examples.select("words", "target", "part").mapInArrow(run, "n long, gradient binary").collect()  # one row a partition
         shared.destroy()
         if not parts:
             break
@@ -177,52 +190,44 @@ class Scorer:
         return 1 / (1 + np.exp(-z))
 
 
-def _paragraph_rows(docs: DataFrame, doc_id: str, text: str, keep: str | None = None) -> DataFrame:
-    """(doc_id, words[, keep]) of the long paragraphs of the documents."""
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (doc_id, keep) if c}
+def _paragraph_rows(docs: DataFrame, text: str, target: str, known: np.ndarray) -> DataFrame:
+    """(words, target) of the long paragraphs of the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
-            rows, words = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for p in mail_paragraphs(t):
-                    rows.append(i)
-                    words.append(p)
-            at = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(at), pa.array(words, pa.list_(pa.string()))]
-            if keep:
-                columns.append(batch.column(2).take(at))
-            yield pa.RecordBatch.from_arrays(columns, [doc_id, "words", *([keep] if keep else [])])
+            rows, words = own_paragraphs(batch.column(0).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1).take(pa.array(rows, pa.int64()))], ["words", "target"])
 
-    schema = f"`{doc_id}` {kinds[doc_id]}, words array<string>" + (f", `{keep}` {kinds[keep]}" if keep else "")
-    return docs.select(doc_id, text, *([keep] if keep else [])).mapInArrow(run, schema)
+    return docs.select(text, target).mapInArrow(run, "words array<string>, target array<double>")
 
 
 def _fixed(rows: DataFrame) -> DataFrame:
-    return cut(rows.repartition(PARTS, "words").sortWithinPartitions(F.xxhash64("words")))
+    """rows in a few partitions that stay the same from step to step, each with its number."""
+    dealt = rows.repartition(PARTS, "words").sortWithinPartitions(F.xxhash64("words"))
+    return cut(dealt.withColumn("part", F.spark_partition_id()))
+
+
+def held_out_spans(held_out: DataFrame | None, text: str = "text") -> np.ndarray:
+    return np.zeros(0, np.uint64) if held_out is None else contamination.known_spans(held_out, text)
 
 
-def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subject: str, subjects: list[str], negatives: DataFrame | None = None, negative_text: str = "text") -> np.ndarray:
-    """Fit on the paragraphs of labelled documents, then again on paragraphs that the model is sure of.
+def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subject: str, subjects: list[str], known: np.ndarray | None = None) -> np.ndarray:
+    """Fit on the paragraphs of labelled documents, at first with their documents' labels, then with what the model makes of them.
 
     Labels name subjects of whole documents, incompletely and partly wrongly; a document's labels are at first given to
-    all its long paragraphs. Each refit starts afresh on single paragraphs, with their best subject alone, of a hash
-    sample of all documents. negatives are texts known to treat no subject. All samples are bounded by parameters and
+    all its long paragraphs. Each refit starts afresh on the same paragraphs, each with its best subject alone where the
+    last model is sure of it, or with none where nothing is probable; the others are left out. Paragraphs copied from the items whose runs
+    are known (held_out_spans) are never fitted. The labelled documents are bounded by LABELLED_DOCS and their paragraphs
     spread over fixed partitions. Without any label every score stays low.
     """
     k, spark = len(subjects), docs.sparkSession
+    known = np.zeros(0, np.uint64) if known is None else known
     targets = [F.max((F.col(subject) == s).cast("double")) for s in subjects]
     labelled = labels.where(F.col(subject).isin(*subjects)).groupBy(doc_id).agg(F.array(*targets).alias("target"))
     chosen = labelled.orderBy(F.xxhash64(doc_id), doc_id).limit(LABELLED_DOCS)
-    first = _paragraph_rows(docs.select(doc_id, text).join(F.broadcast(chosen), doc_id), doc_id, text, "target")  # at most LABELLED_DOCS rows
-    without = spark.createDataFrame([], "words array<string>, target array<double>")
-    if negatives is not None:
-        none = negatives.where(F.col(negative_text).isNotNull()).orderBy(F.xxhash64(negative_text)).limit(NEGATIVES)
-        found = F.regexp_extract_all(F.lower(negative_text), F.lit(r"(\p{L}{3,})"), 1)
-        without = cut(none.select(found.alias("words"), F.array(*[F.lit(0.0)] * k).alias("target")))
-    theta = fit(_fixed(first.select("words", "target").unionByName(without)), k)
-    step = max(1, math.ceil(docs.count() / PSEUDO_DOCS))
-    sample = cut(_paragraph_rows(docs.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0), doc_id, text).select("words"))
+    first = _fixed(_paragraph_rows(docs.select(doc_id, text).join(F.broadcast(chosen), doc_id), text, "target", known))  # at most LABELLED_DOCS rows
+    theta = fit(first, k)
     for _ in range(REFITS):
         shared = spark.sparkContext.broadcast(theta)
 
@@ -236,34 +241,32 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, subject: s
                 ranked = np.sort(p, 1)
                 sure = (ranked[:, -1] >= SURE) & (ranked[:, -1] > LEAD * (ranked[:, -2] if k > 1 else 0))
                 target = np.zeros_like(p)
-                target[np.arange(len(p)), p.argmax(1)] = 1
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(target.tolist(), pa.list_(pa.float64()))], ["words", "target"]).filter(pa.array(sure))
+                target[np.flatnonzero(sure), p.argmax(1)[sure]] = 1
+                use = sure | (ranked[:, -1] < NONE)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(target.tolist(), pa.list_(pa.float64())), batch.column(1)], ["words", "target", "part"]).filter(pa.array(use))
 
-        again = sample.mapInArrow(judge, "words array<string>, target array<double>")
-        theta = fit(_fixed(again.unionByName(without)), k)
+        theta = fit(cut(first.select("words", "part").mapInArrow(judge, "words array<string>, target array<double>, part int")), k)
     return theta
 
 
-def document_subjects(docs: DataFrame, doc_id: str, text: str, theta: np.ndarray, subjects: list[str], threshold: float = 0.5) -> DataFrame:
+def document_subjects(docs: DataFrame, doc_id: str, text: str, theta: np.ndarray, subjects: list[str], threshold: float = 0.5, known: np.ndarray | None = None) -> DataFrame:
     """Distinct (doc_id, subject) of every document that treats a subject in a paragraph of three or more sentences.
 
-    Each paragraph the reader sees, quoted ones included, is scored on its own; nothing is shuffled. Documents without such a
-    paragraph, and null and empty texts, have no row.
+    Each paragraph the reader sees, quoted ones included, is scored on its own; nothing is shuffled. Paragraphs mostly
+    copied from the items whose runs are known do not count. Documents without such a paragraph, and null and empty texts,
+    have no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(theta)
+    known = np.zeros(0, np.uint64) if known is None else known
+    shared = docs.sparkSession.sparkContext.broadcast((theta, known))
     k = len(subjects)
 
     def run(batches):
-        scorer = kept(f"subject_scorer_{zlib.crc32(shared.value.tobytes())}", lambda: Scorer(shared.value, k))
+        scorer = kept(f"subject_scorer_{zlib.crc32(shared.value[0].tobytes())}", lambda: Scorer(shared.value[0], k))
         names = np.array(subjects)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                rows, words = [], []
-                for i, t in enumerate(piece.column(1).to_pylist()):
-                    for p in mail_paragraphs(t):
-                        rows.append(i)
-                        words.append(p)
+                rows, words = own_paragraphs(piece.column(1).to_pylist(), shared.value[1])
                 if not words:
                     continue
                 i, j = np.nonzero(scorer.probabilities(words) >= threshold)

@@ -75,6 +75,33 @@ def test_mail_parts():
     assert [t for _, _, t in mail.parts(as_mail("x", "base64")[:-3] + "!!")]
 
 
+def test_first_lines_like_a_header_are_text():
+    assert [t for _, _, t in mail.parts("Note: the quick brown fox\njumps.\n\nOver.")] == ["Note: the quick brown fox\njumps.\n\nOver."]
+    assert [t for _, _, t in mail.parts("Note: x\nSubject: y\n\nOver.")] == ["Over."]
+    assert [t for _, _, t in mail.parts("Content-Type: multipart/mixed; boundary=B\n\n--B\nTodo: buy\n\nmore\n--B--\n")] == ["Todo: buy\n\nmore"]
+
+
+def test_text_files_of_any_type():
+    part = "Content-Type: application/octet-stream; name=\"{}\"\nContent-Disposition: attachment\nContent-Transfer-Encoding: base64\n\naGk="
+    assert [tuple(x) for x in mail.parts(part.format("a.txt"))] == [("plain", True, "hi")]
+    assert list(mail.parts(part.format("a.png"))) == list(mail.parts(part.format("txt"))) == []
+
+
+def test_deeply_nested_parts():
+    text = "Content-Type: text/plain\n\ndeep"
+    for i in range(1500):
+        text = f"Content-Type: message/rfc822\n\n{text}" if i % 2 else f"Content-Type: multipart/mixed; boundary=B{i}\n\n--B{i}\n{text}\n--B{i}--"
+    assert [t.strip() for _, _, t in mail.parts(text)] == ["deep"]
+
+
+def test_copied_shares(spark):
+    words = [f"w{i}" for i in range(30)]
+    known = W.known_spans(spark.createDataFrame([(" ".join(words),), (None,), ("",), ("too short",)], "text string"), "text")
+    texts = [words[3:14] + ["x"] * 11, words[:9], [], ["x", *words[5:15]], words[20:30] + words[:10]]
+    assert [round(float(x), 3) for x in W.copied_shares(texts, known)] == [0.5, 0.0, 0.0, round(10 / 11, 3), 1.0]
+    assert not W.copied_shares(texts, known[:0]).any()
+
+
 def brute(docs, items):
     words = {i: W.word_list(t) for i, t in items}
     grams = {(i, tuple(w[k : k + 10])) for i, w in words.items() for k in range(len(w) - 9)}
@@ -176,5 +203,8 @@ def test_subjects_are_learnt(spark):
     got = {tuple(r) for r in S.document_subjects(d, "doc_id", "text", theta, ["law", "food"]).collect()}
     held_out = {(i, s) for i, s in truth.items() if i >= 60}
     assert len(got & held_out) >= 0.95 * len(held_out) and len({x for x in got if x[0] >= 60} - held_out) <= 3
+    known = S.held_out_spans(spark.createDataFrame([(docs[7][1].partition("\n\n")[2],)], "text string"))
+    without = {tuple(r) for r in S.document_subjects(d, "doc_id", "text", theta, ["law", "food"], known=known).collect()}
+    assert 7 in {i for i, _ in got - without} and not without - got and without
     empty = S.train(d, "doc_id", "text", l.limit(0), "subject", ["law", "food"])
     assert S.document_subjects(d, "doc_id", "text", empty, ["law", "food"]).count() == 0
