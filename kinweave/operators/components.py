@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.text import hover_text
 from kinweave.operators.numbering import dense_number
 from kinweave.operators.skew import counted_join
 from kinweave.session import cut, cut_counting, release
@@ -77,6 +81,16 @@ def cluster_subgraph(rows: DataFrame, row_id: str, edges: DataFrame, label: int)
     return nodes, edges.join(ids, "src", "left_semi")
 
 
+def cluster_layout(rows: DataFrame, row_id: str, edges: DataFrame, label: int, hover: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes (row id, x, y, text) and edges (src, dst, x0, y0, x1, y1) of one cluster, laid out on a circle in row order, for any plotter."""
+    nodes, links = cluster_subgraph(rows, row_id, edges, label)
+    placed_nodes = cut(dense_number(nodes, [row_id], "_i"))
+    turn = F.col("_i") * F.lit(2 * math.pi / max(1, placed_nodes.count()))
+    drawn = placed_nodes.select(row_id, F.cos(turn).alias("x"), F.sin(turn).alias("y"), hover_text(row_id, hover).alias("text"))
+    at = lambda end, k: drawn.select(F.col(row_id).alias(end), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    return drawn, links.join(at("src", 0), "src").join(at("dst", 1), "dst").select("src", "dst", "x0", "y0", "x1", "y1")
+
+
 def dbscan(rows: DataFrame, row_id: str, pairs: DataFrame, eps: float, min_samples: int, weight: str | None = None) -> DataFrame:
     """(row_id, cluster_id) by density over distances max(1 - similarity, 0); noise is -1.
 
@@ -90,12 +104,17 @@ def dbscan(rows: DataFrame, row_id: str, pairs: DataFrame, eps: float, min_sampl
     near = pairs.where(F.greatest(1 - F.col("similarity"), F.lit(0.0)) <= eps + 1e-9).select(F.col("idx1").alias("src"), F.col("idx2").alias("dst"))
     both = cut(near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     ids = cut(rows.select(F.col(row_id).alias("src"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")))
-    beside = both.join(ids.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.sum("_w").alias("_near"))
+    degrees, seen = cut_counting(both.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("_d")), n=F.sum("_d"))
+    sized = ids.withColumnRenamed("src", "dst").join(degrees, "dst")
+    beside = counted_join(both, sized, ["dst"], "_d", seen["n"] or 0).groupBy("src").agg(F.sum("_w").alias("_near"))
     degree = ids.join(beside, "src", "left").select("src", (F.col("_w") + F.coalesce("_near", F.lit(0))).alias("_n"))
     cores = cut(degree.where(F.col("_n") >= min_samples).select("src"))
-    core_edges = both.where("src < dst").join(cores, "src", "left_semi").join(cores.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    dense = cut(degrees.join(cores.withColumnRenamed("src", "dst"), "dst"))  # cores with a neighbour
+    inner = counted_join(both, dense, ["dst"], "_d", seen["n"] or 0).select("dst", "src")
+    core_edges = counted_join(inner.where("src < dst"), dense.select(F.col("dst").alias("src"), "_d"), ["src"], "_d", seen["n"] or 0).select("src", "dst")
     alone = cores.select("src", F.col("src").alias("dst"))
     labels = cut(number_components(connected_components(core_edges.select("src", "dst").unionByName(alone))))
-    border = both.join(labels.withColumnRenamed("node", "dst"), "dst").join(cores, "src", "left_anti").groupBy("src").agg(F.min("cluster_label").alias("cluster_label"))
+    sized_labels = labels.withColumnRenamed("node", "dst").join(degrees, "dst")
+    border = counted_join(both, sized_labels, ["dst"], "_d", seen["n"] or 0).join(cores, "src", "left_anti").groupBy("src").agg(F.min("cluster_label").alias("cluster_label"))
     found = labels.select(F.col("node").alias(row_id), "cluster_label").unionByName(border.select(F.col("src").alias(row_id), "cluster_label"))
     return rows.join(found, row_id, "left").withColumn("cluster_id", F.coalesce("cluster_label", F.lit(-1)).cast("long")).drop("cluster_label")

@@ -32,11 +32,11 @@ def partition_offsets(fixed: DataFrame) -> DataFrame:
 
 
 def dense_number(df: DataFrame, order_by: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
-    """Number rows start, start + 1, ... in the given order.
+    """Number rows start, start + 1, ... in the given order; without one, in the order of the input's partitions and rows.
 
     Rows are range-partitioned, so a third of them sharing one order key would share a task; end order_by with a
     unique column. Equal keys are numbered in arbitrary order. An empty table stays empty.
     """
-    fixed = placed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
+    fixed = placed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df)
     joined = fixed.join(F.broadcast(partition_offsets(fixed)), "_pid")
     return joined.withColumn(name, F.col("_offset") + F.col("_place") + F.lit(start)).drop("_pid", "_place", "_offset")

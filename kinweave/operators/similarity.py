@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from kinweave.operators.skew import salted_join
 from kinweave.operators.vectorize import TOKENIZERS, Tokenizer, fit_idf, term_frequencies, weigh
 from kinweave.session import cut
 
+MOST_LIST = 2_000  # vectors with one term that a task compares with as many
 SLACK = 1e-9  # sums of products differ in the last digits with the order of summation
 
 
@@ -70,7 +73,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float, row_id: str = "class_id",
 
     Lossless prefix filter (Bayardo, Ma & Srikant, WWW 2007): with each vector's terms ordered from rare to common,
     only terms before the point where the rest of the vector is shorter than the threshold are indexed; a pair
-    at or above the threshold shares one of them. Only candidates are scored in full. Cosines of 0 are never
+    at or above the threshold shares one of them. Long lists are split. Only candidates are scored in full, terms
+    being compared by 64-bit hashes. Cosines of 0 are never
     pairs, whatever the threshold. float32_scores re-tests the score after rounding it to single precision.
     """
     if threshold <= 0:
@@ -83,22 +87,42 @@ def cosine_pairs(vectors: DataFrame, threshold: float, row_id: str = "class_id",
     after = F.sqrt(F.coalesce(F.sum(square).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     bound = threshold - SLACK
     index = v.select("_id", *blocks, "term", "df", "w", left.alias("_left"), after.alias("_after")).where((F.col("_left") >= bound) & (F.col("df") > 1))
-    a = index.select(*blocks, "term", F.col("_id").alias("idx1"), F.col("w").alias("_w1"), F.col("_after").alias("_after1"))
-    b = index.select(*blocks, "term", F.col("_id").alias("idx2"), F.col("w").alias("_w2"), F.col("_after").alias("_after2"))
-    shared = a.join(b, [*blocks, "term"]).where("idx1 < idx2").groupBy("idx1", "idx2")
+    # The list of a common term is dealt to parts, and every part of it meets every other in a task of its own.
+    n_parts = F.floor((F.col("df") - 1) / F.lit(MOST_LIST)).cast("int") + 1
+    mine = F.pmod(F.xxhash64("_id"), n_parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), n_parts - 1))
+    side = lambda i, *parts: index.select(*blocks, "term", F.col("_id").alias(f"idx{i}"), F.col("w").alias(f"_w{i}"), F.col("_left").alias(f"_left{i}"), F.col("_after").alias(f"_after{i}"), *parts)
+    a, b = side(1, mine.alias("_p1"), every.alias("_p2")), side(2, every.alias("_p1"), mine.alias("_p2"))
+    # At a pair's first shared term the lengths from there on bound the cosine; later terms' rows may go, as the bound below covers them.
+    shared = a.join(b, [*blocks, "term", "_p1", "_p2"]).where((F.col("idx1") < F.col("idx2")) & (F.col("_left1") * F.col("_left2") >= bound)).groupBy("idx1", "idx2")
     # Beyond the last shared indexed term, the product of the two remaining lengths bounds what can still be added.
     reachable = shared.agg((F.sum(F.col("_w1") * F.col("_w2")) + F.min(F.col("_after1") * F.col("_after2"))).alias("_most"))
     candidates = cut(reachable.where(F.col("_most") >= bound).select("idx1", "idx2"))
     ids = candidates.select(F.explode(F.array("idx1", "idx2")).alias("_id")).distinct()
-    full = v.join(ids, "_id", "left_semi").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_v"))  # one row's terms
-    scored = candidates.join(full.select(F.col("_id").alias("idx1"), F.col("_v").alias("_v1")), "idx1").join(full.select(F.col("_id").alias("idx2"), F.col("_v").alias("_v2")), "idx2")
-    dot = F.aggregate(F.map_entries("_v1"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("_v2"), e["key"]), F.lit(0.0)))
-    pairs = scored.select("idx1", "idx2", dot.alias("similarity")).where(F.col("similarity") >= bound)
+    terms = v.join(ids, "_id", "left_semi").select("_id", F.struct(F.xxhash64("term").alias("t"), "w").alias("e"))
+    full = cut(terms.groupBy("_id").agg(F.sort_array(F.collect_list("e")).alias("_v")).select("_id", F.col("_v.t").alias("_t"), F.col("_v.w").alias("_w")))  # one row's terms
+    end = lambda i: full.select(F.col("_id").alias(f"idx{i}"), F.col("_t").alias(f"_t{i}"), F.col("_w").alias(f"_w{i}"))
+    scored = candidates.join(end(1), "idx1").join(end(2), "idx2").select("idx1", "idx2", "_t1", "_w1", "_t2", "_w2")
+    pairs = scored.mapInArrow(_dots, f"idx1 {v.schema['_id'].dataType.simpleString()}, idx2 {v.schema['_id'].dataType.simpleString()}, similarity double").where(F.col("similarity") >= bound)
     if float32_scores:
         pairs = pairs.withColumn("similarity", F.col("similarity").cast("float").cast("double")).where(F.col("similarity") >= threshold)
     return pairs
 
 
+def _dots(batches):
+    """Dot products of sparse vectors given as sorted term hashes and weights."""
+    for batch in batches:
+        t1, w1, t2, w2 = (batch.column(i) for i in range(2, 6))
+        flat = [(c.flatten().to_numpy(), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (t1, w1, t2, w2)]
+        out = np.zeros(batch.num_rows)
+        for i in range(batch.num_rows):
+            x1, x2 = (flat[k][0][flat[k][1][i] : flat[k][1][i + 1]] for k in (0, 2))
+            at = np.minimum(np.searchsorted(x2, x1), max(len(x2) - 1, 0))
+            hit = x2[at] == x1
+            out[i] = flat[1][0][flat[1][1][i] : flat[1][1][i + 1]][hit] @ flat[3][0][flat[3][1][i] : flat[3][1][i + 1]][at[hit]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["idx1", "idx2", "similarity"])
+
+
 def top_neighbours(pairs: DataFrame, n: int, score: str = "similarity") -> DataFrame:
     """The n best partners of every id, by score and then by id."""
     both = pairs.select("idx1", "idx2", score).unionByName(pairs.select(F.col("idx2").alias("idx1"), F.col("idx1").alias("idx2"), score))

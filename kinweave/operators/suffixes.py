@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
-from kinweave.operators.skew import salted_join
-from kinweave.session import cut
+from kinweave.operators.skew import counted_join, salted_join
+from kinweave.session import cut, cut_counting
 
 
 @dataclass(frozen=True)
@@ -37,22 +38,29 @@ def exempt(column: str, k: int, least_residual: int):
     return after | (X.residual_length(column, k) < least_residual)
 
 
-def strip_pass(values: DataFrame, old: str, new: str, removed: str, k: int, config: SuffixConfig) -> DataFrame:
+def strip_pass(values: DataFrame, old: str, new: str, removed: str, k: int, config: SuffixConfig, statistics: list[DataFrame] | None = None) -> DataFrame:
     """One pass over distinct names (_vid, n, old): adds the stripped name and the removed text.
 
     Each name's endings of 1 to k words are matched to the mined ones by an equi-join whose common endings are
-    salted; the longest match wins.
+    met by broadcast; the longest match wins. statistics takes one row on the pass: see pass_statistics.
     """
     w = X.words(old)
     longest = F.least(F.size(w), F.lit(k))
     lengths = F.when(longest >= 1, F.sequence(F.lit(1), F.greatest(longest, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     ends = values.select("_vid", "n", F.col(old).alias("_old"), F.explode(lengths).alias("_j"), longest.alias("_top"))
     ow = X.words("_old")
-    ends = cut(ends.select("_vid", "n", "_j", "_top", F.array_join(F.slice(ow, F.size(ow) - F.col("_j") + 1, F.col("_j")), " ").alias("ending"), exempt("_old", k, config.least_residual).alias("_exempt")))
+    reasons = [F.coalesce(X.words_after_preposition("_old") <= k, F.lit(False)).alias("_near"), (X.residual_length("_old", k) < config.least_residual).alias("_short")]
+    ending = F.array_join(F.slice(ow, F.size(ow) - F.col("_j") + 1, F.col("_j")), " ").alias("ending")
+    ends, seen = cut_counting(ends.select("_vid", "n", "_j", "_top", ending, *reasons).withColumn("_exempt", F.col("_near") | F.col("_short")), total=F.count("*"))
     mined = ends.groupBy("ending").agg(F.sum(F.when(F.col("_j") == F.col("_top"), F.col("n")).otherwise(0)).alias("_count"), F.count("*").alias("_weight"))
     mined = cut(mined.where(F.col("_count") >= config.least_count))
-    total = ends.count()
-    hits = salted_join(ends.where(~F.col("_exempt")).select("_vid", "_j", "ending"), mined.select("ending", "_weight"), ["ending"], "_weight", total)
+    if statistics is not None:
+        rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+        near, short = F.coalesce(X.words_after_preposition(old) <= k, F.lit(False)), X.residual_length(old, k) < config.least_residual
+        whole = values.agg(rows(near).alias("near_preposition"), rows(short).alias("short_rest"))
+        statistics.append(whole.crossJoin(mined.agg(F.count("*").alias("endings"))).select(F.lit(len(statistics) + 1).alias("pass"), F.lit(k).alias("words"), "endings", "near_preposition", "short_rest"))
+    total = seen["total"]
+    hits = counted_join(ends.where(~F.col("_exempt")).select("_vid", "_j", "ending"), mined.select("ending", "_weight"), ["ending"], "_weight", total)
     cuts = hits.groupBy("_vid").agg(F.max("_j").alias("_cut"))
     done = values.join(cuts, "_vid", "left")
     ow = X.words(old)
@@ -86,14 +94,12 @@ def clean_entity_names(df: DataFrame, column: str, config: SuffixConfig = Suffix
 
 
 def pass_statistics(df: DataFrame, column: str, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """(words, endings, near_preposition, short_rest): per pass over the cleaned names, how many endings are common and how
-    many rows keep theirs for either reason. Each pass is counted on the cleaned, not on the already stripped names."""
-    names = cut(df.where(F.col(column).isNotNull()).select(X.clean_name(column).alias("_c")))
-    out = None
-    for k in range(config.words, 0, -1):
-        after = F.coalesce(X.words_after_preposition("_c") <= k, F.lit(False))
-        rows = names.agg(F.count_if(after).alias("near_preposition"), F.count_if(X.residual_length("_c", k) < config.least_residual).alias("short_rest"))
-        part = common_endings(names, "_c", k, config.least_count).agg(F.count("*").alias("endings")).withColumn("_k", F.lit(k)).join(rows.withColumn("_k", F.lit(k)), "_k")
-        part = part.select(F.lit(k).alias("words"), "endings", "near_preposition", "short_rest")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(pass, words, endings, near_preposition, short_rest): of each pass, the second one-word pass being the last, how many endings
+    are common and how many rows keep theirs for either reason, counted on what the pass before has left."""
+    source = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("n")).withColumn("_vid", F.monotonically_increasing_id()))
+    values, statistics = source.withColumn("_c", X.clean_name("_name")), []
+    old = "_c"
+    for k in [*range(config.words, 0, -1), 0]:
+        values = strip_pass(values, old, f"_c{k}", f"_r{k}", max(k, 1), config, statistics)
+        old = f"_c{k}"
+    return reduce(DataFrame.unionByName, statistics)

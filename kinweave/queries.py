@@ -13,15 +13,16 @@ from kinweave.operators import components as C
 from kinweave.operators import evidence as E
 from kinweave.operators import similarity as S
 from kinweave.operators.reduce_rank import dense_cosine, truncated_svd
-from kinweave.operators.skew import heavy_keys, key_summary, salted_join
+from kinweave.operators.skew import counted_join, heavy_keys, key_summary
 from kinweave.operators.suffixes import clean_entity_names, common_endings, pass_statistics
 from kinweave.operators.suffixes import common_affixes as mine_affixes
 from kinweave.operators.vectorize import TOKENIZERS, cross_similarity, fit_idf, term_frequencies, weigh
-from kinweave.plans.linking import RecordLinker, override_labels
+from kinweave.plans.linking import RecordLinker, attach_columns, override_labels
 from kinweave.plans.linking import explain_pairs as explain
 from kinweave.plans.linking import script_graph as build_script_graph
-from kinweave.session import cut
-from kinweave.sources import load_table, with_row_index
+from kinweave.plans.script import script_clusters
+from kinweave.session import cut, scratch_path
+from kinweave.sources import distinct_rows, load_table, read_csv, with_row_index, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +47,7 @@ _HEAVY = """
 @query(_HEAVY.format(f="cluster_label", t="clustered") + " UNION ALL " + _HEAVY.format(f="BorrowerName", t="scan"))
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     fields = (("clustered", "cluster_label"), ("scan", "BorrowerName"))
-    parts = [heavy_keys(load_table(spark, folder, table).select(field), field).select(F.lit(field).alias("field"), "key_value") for table, field in fields]
+    parts = [heavy_keys(load_table(spark, folder, table).select(field), field, chunk_rows=250).select(F.lit(field).alias("field"), "key_value") for table, field in fields]
     return parts[0].unionByName(parts[1])
 
 
@@ -58,13 +59,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     FROM s GROUP BY 1""")
 def p5_lender_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Per borrower name, how often the lender changes from one record to the next."""
-    done = key_summary(load_table(spark, folder, "scan"), "BorrowerName", ["row_idx"], "lender", chunk_rows=20_000)
+    done = key_summary(load_table(spark, folder, "scan"), "BorrowerName", ["row_idx"], "lender", chunk_rows=100)
     return done.select(F.col("BorrowerName").alias("key_value"), "n_rows", "first_value", "last_value", "n_changes")
 
 
 @query("SELECT cluster_label AS key_value, count(*) AS n_rows FROM clustered WHERE cluster_label IS NOT NULL GROUP BY 1")
 def p5_label_counts(spark: SparkSession, folder: str) -> DataFrame:
-    done = key_summary(load_table(spark, folder, "clustered"), "cluster_label")
+    done = key_summary(load_table(spark, folder, "clustered"), "cluster_label", chunk_rows=100)
     return done.select(F.col("cluster_label").alias("key_value"), "n_rows")
 
 
@@ -112,7 +113,7 @@ def residual_len(spark: SparkSession, folder: str) -> DataFrame:
     return _cleaned(spark, folder).select("id", "cleaned", X.residual_length("cleaned", 1).alias("residual_1"), X.residual_length("cleaned", 2).alias("residual_2"))
 
 
-def _suffix_sql() -> str:
+def _suffix_sql(statistics: bool = False) -> str:
     ctes, old, removed = [f"p0 AS (SELECT *, cleaned AS c FROM ({_NAMES}))"], "p0", []
     for i, k in enumerate((3, 2, 1, 1), 1):
         r = f"r{i}"
@@ -124,6 +125,12 @@ def _suffix_sql() -> str:
         ctes.append(f"p{i} AS (SELECT * EXCLUDE (c, d, cut), d AS c, CASE WHEN cut IS NOT NULL THEN nullif(trim(replace(c, d, ''), '()'), '') END AS {r}{', d AS cln' if i == 3 else ''} FROM y{i})")
         old = f"p{i}"
         removed.insert(0, r)
+    if statistics:
+        passes = [
+            f"SELECT {i} AS pass, {k} AS words, (SELECT count(*) FROM e{i}) AS endings, count(*) FILTER (({_AFTER}) BETWEEN 0 AND {k}) AS near_preposition, count(*) FILTER (({_RESIDUAL.format(k=k)}) < 10) AS short_rest FROM w{i} WHERE c IS NOT NULL"
+            for i, k in enumerate((3, 2, 1, 1), 1)
+        ]
+        return f"WITH {', '.join(ctes)} {' UNION ALL '.join(passes)}"
     ends = f"string_split(trim(regexp_replace(concat_ws(' ', {', '.join(removed)}), ' +', ' ', 'g')), ' ')"
     cols = ", ".join(f"nullif(e[-{n + 1}], '') AS \"{n}-ending\"" for n in range(4))
     return f"WITH {', '.join(ctes)} SELECT id, BorrowerName, cln AS \"BorrowerName_CLN\", {cols} FROM (SELECT *, {ends} AS e FROM {old})"
@@ -134,12 +141,7 @@ def suffix_clean_full(spark: SparkSession, folder: str) -> DataFrame:
     return clean_entity_names(load_table(spark, folder, "companycleaner"), "BorrowerName")
 
 
-def _statistics_sql(k: int) -> str:
-    return f"""SELECT {k} AS words, (SELECT count(*) FROM ({_ending_sql(k)})) AS endings, count(*) FILTER (({_AFTER}) BETWEEN 0 AND {k}) AS near_preposition,
-        count(*) FILTER (({_RESIDUAL.format(k=k)}) < 10) AS short_rest FROM (SELECT {_SPLIT.format(c="cleaned")} AS w FROM ({_NAMES}) WHERE cleaned IS NOT NULL)"""
-
-
-@query(" UNION ALL ".join(_statistics_sql(k) for k in (3, 2, 1)))
+@query(_suffix_sql(statistics=True))
 def suffix_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return pass_statistics(load_table(spark, folder, "companycleaner"), "BorrowerName")
 
@@ -176,12 +178,51 @@ def head_slice(spark: SparkSession, folder: str) -> DataFrame:
     return load_table(spark, folder, "scan").select("row_idx", "BorrowerName", "BorrowerAddress").orderBy("row_idx").limit(1000)
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The nations written as CSV and read again."""
+    path = scratch_path(spark)
+    write_csv(load_table(spark, folder, "nation"), path)
+    return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT row_idx, BorrowerName, lender FROM scan WHERE BorrowerName IS NOT NULL AND approved_on IS NOT NULL")
+def drop_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return load_table(spark, folder, "scan").na.drop("any", subset=["BorrowerName", "approved_on"]).select("row_idx", "BorrowerName", "lender")
+
+
+@query("SELECT n_name, row_number() OVER () AS id FROM nation")
+def ids_in_input_order(spark: SparkSession, folder: str) -> DataFrame:
+    return with_row_index(load_table(spark, folder, "nation").select("n_name"), [], "id", 1).select("n_name", "id")
+
+
+@query("SELECT BorrowerName, min(row_idx) AS row_idx, arg_min_null(lender, row_idx) AS lender FROM scan GROUP BY 1")
+def distinct_names(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_rows(load_table(spark, folder, "scan").select("row_idx", "BorrowerName", "lender"), ["BorrowerName"], "row_idx")
+
+
+@query("SELECT row_idx, 'Node: ' || row_idx || '<br>BorrowerName: ' || coalesce(BorrowerName, '') || '<br>lender: ' || coalesce(lender, '') AS text FROM scan")
+def hover_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return load_table(spark, folder, "scan").select("row_idx", X.hover_text("row_idx", ["BorrowerName", "lender"]).alias("text"))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part), e AS (SELECT p_partkey, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    p AS (SELECT p_partkey, CASE WHEN i = 1 THEN word || ' ' WHEN i = n THEN ' ' || word ELSE ' ' || word || ' ' END AS t,
+        CASE WHEN word IN ('ring', 'small') AND i = n THEN 5 WHEN word IN ('ring', 'small') AND i = 1 THEN 7 ELSE 10 END AS times FROM e)
+    SELECT p_partkey, term, sum(times)::BIGINT AS n FROM (SELECT p_partkey, times, unnest(list_transform(range(1, length(t) - 1), lambda k: t[k:k + 2])) AS term FROM p) GROUP BY 1, 2""")
+def affix_trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Trigrams of part names, weighed by place and by whether the word is a common affix."""
+    terms = load_table(spark, folder, "part").select("p_partkey", F.explode(X.affix_trigrams("p_name", ["ring", "small"])).alias("term"))
+    return terms.groupBy("p_partkey", "term").agg(F.count("*").alias("n"))
+
+
 # ---- vectors and similarity ----------------------------------------------------------------------------------------
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 _TOKENS = {
     "tfidf": f"""(list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i + 1], ' ')) || list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i + 2], ' ')))
         FROM (SELECT *, list_filter(regexp_extract_all(value, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS k FROM v)""",
+    "own": "string_split(value, ' ') FROM v",
     "numeric": "regexp_extract_all(value, '\\p{Nd}+') FROM v",
     "char_ngram": "list_transform(range(1, length(k)), lambda i: k[i:i + 1]) FROM (SELECT *, regexp_replace(lower(value), '[\\s\\p{Z}]{2,}', ' ', 'g') AS k FROM v)",
 }
@@ -248,6 +289,30 @@ def cosine_pairs_numeric(spark: SparkSession, folder: str) -> DataFrame:
     return S.cosine_pairs(vectors, 0.7).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {_pairs_sql(_PART, 'char_ngram', 0.6)} SELECT idx1, idx2, similarity::FLOAT::DOUBLE AS similarity FROM pairs WHERE similarity::FLOAT >= 0.7::FLOAT")
+def cosine_pairs_float32(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores tested again after rounding to single precision."""
+    return S.cosine_pairs(_tfidf(spark, folder, "part", "p_partkey", "p_name", "char_ngram"), 0.7, float32_scores=True)
+
+
+@query(f"WITH {_pairs_sql(_PART, 'own', 0.5)} SELECT idx1, idx2, round(similarity, 6) AS similarity FROM pairs")
+def cosine_pairs_own_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    classes = cut(S.value_classes(load_table(spark, folder, "part"), "p_partkey", "p_name"))
+    return S.cosine_pairs(S.class_vectors(classes, lambda c: X.words(X.squeeze(c))), 0.5).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
+
+
+_LENT = "SELECT min(row_idx) AS id, BorrowerAddress AS value, lender, count(*) AS n FROM scan GROUP BY BorrowerAddress, lender"
+
+
+@query(f"""WITH {_pairs_sql(_LENT, 'numeric', 0.7, 'a.value[1] = b.value[1]')} SELECT idx1, idx2, round(similarity, 6) AS similarity
+    FROM pairs JOIN v a ON a.id = idx1 JOIN v b ON b.id = idx2 WHERE a.lender = b.lender""")
+def cosine_pairs_composite_block(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses compared within lender and first character."""
+    rows = load_table(spark, folder, "scan")
+    classes = cut(S.value_classes(rows, "row_idx", "BorrowerAddress", S.block_columns("BorrowerAddress", ["first_letter", "blocking_column"], ["lender"])))
+    return S.cosine_pairs(S.class_vectors(classes, "numeric"), 0.7).select("idx1", "idx2", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT s_suppkey AS row_idx, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS class_id, count(*) OVER (PARTITION BY s_nationkey) - 1 AS links FROM supplier WHERE s_nationkey IS NOT NULL")
 def exact_pairs_blocked(spark: SparkSession, folder: str) -> DataFrame:
     """Equality self-join as classes: every row's class and how many others equal it."""
@@ -280,17 +345,20 @@ def topn_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_neighbours(pairs, 3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH {_pairs_sql(_PART, 'char_ngram', 0.5)}, two AS (SELECT idx1, idx2, similarity FROM pairs UNION ALL SELECT idx2, idx1, similarity FROM pairs),
+    asked AS (SELECT DISTINCT c FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS c FROM part WHERE p_name IS NOT NULL) WHERE p_partkey % 50 = 0)
+    SELECT idx1, idx2, round(similarity, 6) AS similarity FROM two WHERE idx1 IN (SELECT c FROM asked)""")
 def svd_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Cosines after projection, class by class; queries are the part names of any row whose key is divisible by 50, against
-    all. `part_name_members` gives the rows of a class."""
+    all. `part_name_members` gives the rows of a class. The SQL has the exact cosines: there are fewer names than ranks."""
     part = load_table(spark, folder, "part")
     classes = cut(S.value_classes(part, "p_partkey", "p_name"))
     tf = cut(term_frequencies(classes, "class_id", "value", TOKENIZERS["char_ngram"], ("n",)))
     idf = fit_idf(tf, part.count(), "n")
     unit = cut(truncated_svd(weigh(tf, cut(idf), "class_id", norm=False), "class_id"))
     asked = S.membership(part.where("p_partkey % 50 = 0"), "p_partkey", "p_name", classes).select("class_id").distinct()
-    return dense_cosine(unit.join(asked, "class_id", "left_semi"), unit, "class_id", 0.5)
+    found = dense_cosine(unit.join(asked, "class_id", "left_semi"), unit, "class_id", 0.5)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT p_partkey AS row_idx, min(p_partkey) OVER (PARTITION BY p_name) AS class_id FROM part WHERE p_name IS NOT NULL")
@@ -377,6 +445,24 @@ def cluster_subgraph(spark: SparkSession, folder: str) -> DataFrame:
     return C.cluster_subgraph(labels.withColumnRenamed("node", "row_idx"), "row_idx", edges, 0)[1]
 
 
+@query(f"""WITH {_LABELS}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS m FROM labels WHERE cluster_label = 0)
+    SELECT node AS row_idx, round(cos(2 * pi() * i / m), 6) AS x, round(sin(2 * pi() * i / m), 6) AS y, 'Node: ' || node AS text FROM n""")
+def cluster_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of cluster 0 with the coordinates and texts of a figure."""
+    edges = cut(_edges(spark, folder))
+    labels = cut(C.number_components(C.connected_components(edges)).withColumnRenamed("node", "row_idx"))
+    nodes = C.cluster_layout(labels, "row_idx", edges, 0)[0]
+    return nodes.select("row_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "text")
+
+
+@query("""SELECT e.idx1, e.idx2, e.BorrowerName_similarity AS similarity, a.BorrowerName AS "BorrowerName_idx1", a.lender AS lender_idx1, b.BorrowerName AS "BorrowerName_idx2", b.lender AS lender_idx2
+    FROM evidence e JOIN scan a ON a.row_idx = e.idx1 JOIN scan b ON b.row_idx = e.idx2""")
+def attached_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pairs with columns of both ends."""
+    pairs = load_table(spark, folder, "evidence").select("idx1", "idx2", F.col("BorrowerName_similarity").alias("similarity"))
+    return attach_columns(pairs, load_table(spark, folder, "scan"), "row_idx", ["BorrowerName", "lender"])
+
+
 @query("WITH c AS (SELECT BorrowerName, min(cluster_label) AS fixed FROM clustered WHERE cluster_label < 3 AND BorrowerName IS NOT NULL GROUP BY 1) SELECT row_idx, coalesce(fixed, cluster_label) AS cluster_label FROM clustered LEFT JOIN c USING (BorrowerName)")
 def post_override(spark: SparkSession, folder: str) -> DataFrame:
     rows = load_table(spark, folder, "clustered").select("row_idx", "BorrowerName", "cluster_label")
@@ -429,7 +515,7 @@ def _dbscan_rows(spark: SparkSession, folder: str, least: int) -> DataFrame:
     placed = cut(part.select("p_partkey").join(members, "p_partkey", "left").select("p_partkey", F.coalesce("class_id", "p_partkey").alias("class_id")))
     sizes = placed.groupBy("class_id").agg(F.count("*").alias("n"))
     found = cut(C.dbscan(sizes, "class_id", cut(S.cosine_pairs(vectors, 0.3)), 0.4, least, "n"))
-    return salted_join(placed, found, ["class_id"], "n", placed.count()).select(F.col("p_partkey").alias("id"), "cluster_id")
+    return counted_join(placed, found, ["class_id"], "n", placed.count()).select(F.col("p_partkey").alias("id"), "cluster_id")
 
 
 _DENSE_ROWS = f"""WITH RECURSIVE near AS (SELECT idx1, idx2 FROM (WITH {_pairs_sql(_PART, 'char_ngram', 0.3)} SELECT * FROM pairs) WHERE similarity >= 0.6 - 1e-9),
@@ -529,3 +615,60 @@ def linker_or(spark: SparkSession, folder: str) -> DataFrame:
     SELECT row_idx, coalesce(cluster_label, (SELECT max(cluster_label) FROM labels) + row_number() OVER (PARTITION BY cluster_label IS NULL ORDER BY row_idx)) AS cluster_label FROM scan LEFT JOIN labels ON row_idx = node""")
 def linker_and(spark: SparkSession, folder: str) -> DataFrame:
     return _linker(spark, folder, "AND").cluster().select("row_idx", "cluster_label")
+
+
+_SIZES = "SELECT c AS id, count(*) AS n FROM {m} GROUP BY 1"
+_MEMBER = """SELECT row_idx, '{f}' AS "column", c AS class_id, s.n, coalesce(l.links, 0)::BIGINT AS links FROM {m} JOIN ({sizes}) s ON s.id = c LEFT JOIN
+    (SELECT a AS id, sum(n) AS links FROM (SELECT idx1 AS a, idx2 AS b FROM {p} UNION ALL SELECT idx2, idx1 FROM {p}) JOIN ({sizes}) ON id = b GROUP BY 1) l ON l.id = c"""
+
+
+@query(f"WITH {_scan_ctes()} " + " UNION ALL ".join(_MEMBER.format(f=f, m=m, p=p, sizes=_SIZES.format(m=m)) for f, m, p in (("BorrowerName", "mn", "nm"), ("BorrowerAddress", "ma", "ad"))))
+def linker_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Beside `linker_evidence`: every row's class per column, the rows of the class and those that match it."""
+    return _linker(spark, folder, "OR").members()
+
+
+def _constrained_labels(edges: str, rows: str, row_id: str) -> str:
+    return f"""WITH {_REACH.format(edges=edges)}, labels AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster_label FROM comp)
+        SELECT {row_id}, coalesce(cluster_label, coalesce((SELECT max(cluster_label) FROM labels), -1) + row_number() OVER (PARTITION BY cluster_label IS NULL ORDER BY {row_id})) AS cluster_label FROM {rows} LEFT JOIN labels ON {row_id} = node"""
+
+
+_SAME_NATION = "SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey"
+
+
+@query(_constrained_labels(f"SELECT * FROM ({_SAME_NATION}) WHERE (src, dst) NOT IN (VALUES (8, 17), (14, 28), (30, 54), (30, 55)) UNION SELECT * FROM (VALUES (1, 24), (33, 83)) t(src, dst)", "supplier", "s_suppkey"))
+def linker_constrained_or(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers of one nation under must-links and cannot-links: two parted, three kept together by the third, one taken out."""
+    rules = {"s_nationkey": {"threshold": 1.0, "similarity_method": "exact"}, "s_name": {"threshold": 0.99, "similarity_method": "numeric"}}
+    links = spark.createDataFrame([(8, 17, False), (28, 14, False), (30, 54, False), (55, 30, False), (1, 24, True), (33, 83, True), (33, 83, False)], "id1 long, id2 long, match boolean")
+    rows = load_table(spark, folder, "supplier").withColumn("row_idx", F.col("s_suppkey"))
+    return RecordLinker(rows, rules, "s_suppkey", "OR", links).cluster().select("s_suppkey", "cluster_label")
+
+
+_SAME_PART = f"""SELECT x.p_partkey AS src, y.p_partkey AS dst FROM fp x JOIN fp y ON x.p_type = y.p_type AND x.p_partkey < y.p_partkey
+    WHERE x.c = y.c OR (least(x.c, y.c), greatest(x.c, y.c)) IN (SELECT idx1, idx2 FROM np)"""
+
+
+@query(_constrained_labels(f"SELECT * FROM ({_SAME_PART}) WHERE (src, dst) NOT IN (VALUES (0, 587), (11, 318), (6, 1207), (6, 1247)) UNION SELECT * FROM (VALUES (2, 12)) t(src, dst)", "part", "p_partkey")
+    .replace("WITH RECURSIVE", f"WITH RECURSIVE np AS (WITH {_pairs_sql(_PART, 'char_ngram', 0.8)} SELECT idx1, idx2 FROM pairs), fp AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_name) AS c FROM part),", 1))
+def linker_constrained_and(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of like names and one type; cannot-links between copies of one class leave the class whole."""
+    rules = {"p_name": {"threshold": 0.8, "similarity_method": "char_ngram"}, "p_type": {"threshold": 1.0, "similarity_method": "exact"}}
+    links = spark.createDataFrame([(0, 587, False), (11, 318, False), (6, 1207, False), (1247, 6, False), (2, 12, True)], "id1 long, id2 long, match boolean")
+    rows = load_table(spark, folder, "part").withColumn("row_idx", F.col("p_partkey"))
+    return RecordLinker(rows, rules, "p_partkey", "AND", links).cluster().select("p_partkey", "cluster_label")
+
+
+_SCRIPT = f"""nm AS (WITH {_pairs_sql(_BORROWER, 'char_ngram', 0.9)} SELECT * FROM pairs WHERE similarity > 0.9), ad AS (WITH {_pairs_sql(_ADDRESS, 'char_ngram', 0.95)} SELECT * FROM pairs WHERE similarity > 0.95),
+    usn AS (SELECT DISTINCT id FROM (WITH {_vectors_sql(_BORROWER, 'char_ngram')} SELECT id FROM u WHERE value NOT IN ('', 'nan', 'None'))),
+    usa AS (SELECT DISTINCT id FROM (WITH {_vectors_sql(_ADDRESS, 'char_ngram')} SELECT id FROM u WHERE value NOT IN ('', 'nan', 'None'))),
+    mn AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY BorrowerName) AS c FROM scan WHERE BorrowerName IS NOT NULL QUALIFY c IN (SELECT id FROM usn)),
+    ma AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY BorrowerAddress) AS c FROM scan WHERE BorrowerAddress IS NOT NULL QUALIFY c IN (SELECT id FROM usa))"""
+
+
+@query(_hub_labels(_SCRIPT, """SELECT row_idx AS src, -2 * c - 1 AS dst FROM mn UNION SELECT row_idx, -2 * c - 2 FROM ma
+    UNION SELECT -2 * idx1 - 1, -2 * idx2 - 1 FROM nm UNION SELECT -2 * idx1 - 2, -2 * idx2 - 2 FROM ad""", "scan", "row_idx").rpartition("SELECT row_idx, coalesce")[0] + "SELECT row_idx, cluster_label FROM scan LEFT JOIN labels ON row_idx = node")
+def script_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Two columns under character bigrams and two thresholds; rows without a link have no label."""
+    rows = load_table(spark, folder, "scan").select("row_idx", "BorrowerName", "BorrowerAddress")
+    return script_clusters(rows, "BorrowerName", "BorrowerAddress", 0.9, 0.95, 0.9, 0.95).select("row_idx", "cluster_label")

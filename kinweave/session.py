@@ -68,6 +68,11 @@ def _storable(df: DataFrame) -> bool:
     return plain and len({c.lower() for c in df.columns}) == len(df.columns)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for a table that goes with the application."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder and read from there: its lineage ends.
 
@@ -83,9 +88,8 @@ def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str
     seen = Observation() if measures else None
     if seen:
         df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
-    folder = _folder(spark)
+    path = scratch_path(spark)
     if _storable(df):
-        path = f"{folder}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         table = spark.read.schema(df.schema).parquet(path)
         table._cut_at = path

@@ -1,3 +1,3 @@
-from kinweave.sources.tables import corpus, load_table, read_csv, with_row_index, write_csv
+from kinweave.sources.tables import corpus, distinct_rows, load_table, read_csv, sampled, with_row_index, write_csv
 
-__all__ = ["corpus", "load_table", "read_csv", "with_row_index", "write_csv"]
+__all__ = ["corpus", "distinct_rows", "load_table", "read_csv", "sampled", "with_row_index", "write_csv"]
