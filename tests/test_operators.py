@@ -1,21 +1,24 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave import queries as Q
+from kinweave.functions import text as X
 from kinweave.operators import components as C
 from kinweave.operators import evidence as E
 from kinweave.operators import similarity as S
 from kinweave.operators.numbering import dense_number
 from kinweave.operators.reduce_rank import dense_cosine, truncated_svd
-from kinweave.operators.skew import heavy_keys, key_chunks, key_summary, salted_join
+from kinweave.operators.skew import counted_join, heavy_keys, heavy_sketch, key_chunks, key_summary, salted_join, sketched_join, sketched_keys
 from kinweave.operators.suffixes import clean_entity_names
 from kinweave.operators.vectorize import TOKENIZERS, cross_similarity, fit_idf, term_frequencies, weigh
 from kinweave.plans import RecordLinker
 from kinweave.plans.linking import override_labels
 from kinweave.plans.script import density_clusters, read_rows, script_clusters
-from kinweave.sources import corpus, read_csv, with_row_index, write_csv
+from kinweave.session import cut, cut_counting
+from kinweave.sources import corpus, read_csv, sampled, with_row_index, write_csv
 from kinweave.streaming import score_stream
 
 
@@ -266,3 +269,80 @@ def test_own_tokenizer(spark):
     rule = {"threshold": 0.9, "tokenizer": lambda c: F.split(c, "-")}
     labels = {r.row_idx: r.cluster_label for r in RecordLinker(df, {"n": rule}).cluster().collect()}
     assert labels[0] == labels[1] != labels[2]
+
+
+def test_cannot_link_between_copies_under_and(spark):
+    """Three equal rows stay together without the edge of two of them; two equal rows part."""
+    rows = [(0, "red widget", "x"), (1, "red widget", "x"), (2, "red widget", "x"), (3, "blue bolt", "y"), (4, "blue bolt", "y")]
+    df = spark.createDataFrame(rows, "row_idx long, a string, b string").withColumn("id", F.col("row_idx"))
+    rules = {"a": {"threshold": 0.9, "similarity_method": "char_ngram"}, "b": {"threshold": 1.0, "similarity_method": "exact"}}
+    links = spark.createDataFrame([(0, 1, False), (3, 4, False)], "id1 long, id2 long, match boolean")
+    for conditional in ("AND", "OR"):
+        got = {r.row_idx: r.cluster_label for r in RecordLinker(df, rules, conditional=conditional, constraints=links).cluster().collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2}
+
+
+def test_ids_follow_the_input(spark):
+    df = spark.createDataFrame([("b c",), ("a b",), (None,), ("b c",)], "a string").coalesce(1)
+    done = RecordLinker(df, {"a": {"threshold": 0.9, "similarity_method": "char_ngram"}}).cluster()
+    assert [(r.row_idx, r.id, r.a) for r in done.orderBy("row_idx").collect()] == [(0, 1, "b c"), (1, 2, "a b"), (2, 3, None), (3, 4, "b c")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_keys_by_broadcast_equal_join(spark, how):
+    left = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 900).alias("k"), "id")
+    left, seen = cut_counting(left, heavy=heavy_sketch("k"), n=F.count("*"))
+    right = cut(left.where("k IS NOT NULL AND k <> 8").groupBy("k").agg(F.count("*").alias("c")))
+    heavy = sketched_keys(seen["heavy"], 100)
+    assert seen["n"] == 4000 and heavy == [7]
+    want = sorted(left.join(right, "k", how).collect(), key=str)
+    assert sorted(sketched_join(left, right, "k", heavy, how).select("k", "id", "c").collect(), key=str) == want
+    if how == "inner":
+        assert sorted(counted_join(left, right, ["k"], "c", 4000, least=100).select("k", "id", "c").collect(), key=str) == want
+
+
+def test_cut_keeps_what_parquet_cannot_hold(spark):
+    df = spark.sql("SELECT 1 AS a, INTERVAL 2 MONTHS AS b, CAST(NULL AS void) AS c")
+    shown = lambda x: x.select("a", F.col("b").cast("string"), "c").collect()
+    assert shown(cut(df)) == shown(df)
+    assert cut(spark.range(0)).count() == 0
+
+
+def test_counted_words(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "w array<string>")
+    got = [r[0] for r in df.select(X.counted(F.col("w"))).collect()]
+    assert [(t.term, t.tf) for t in got[0]] == [("a", 1), ("b", 2)] and not got[1] and not got[2]
+
+
+def test_long_lists_are_split_without_loss(spark, monkeypatch):
+    values = [(i, " ".join(random.Random(i).choices(["red", "blue", "hot", "old", "ring", "bolt"], k=3))) for i in range(60)]
+    df = spark.createDataFrame(values, "row_idx long, v string")
+    vectors = cut(S.class_vectors(cut(S.value_classes(df, "row_idx", "v")), "char_ngram"))
+    got = []
+    for most in (2000, 3):
+        monkeypatch.setattr(S, "MOST_LIST", most)
+        got.append({(r[0], r[1]): round(r[2], 9) for r in S.cosine_pairs(vectors, 0.6).collect()})
+    assert got[0] == got[1] and got[0]
+
+
+def test_density_clusters_count_copies(spark):
+    rows = spark.createDataFrame([(0, "red widget"), (1, "red widget"), (2, "red widgets"), (3, "green"), (4, None), (5, None)], "row_idx long, a string")
+    got = {r.row_idx: r.cluster_id for r in density_clusters(rows, "row_idx", {"a": 0.5}, 0.3, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
+
+
+def test_svd_at_rank_100_keeps_exact_cosines(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, f"t{int(j)}", float(rng.random() + 0.1)) for i in range(40) for j in rng.choice(150, 12, replace=False)]
+    unit = {r.id: np.array(r.unit) for r in truncated_svd(spark.createDataFrame(rows, "id long, term string, w double"), "id", 100).collect()}
+    full = np.zeros((40, 150))
+    for i, t, w in rows:
+        full[i, int(t[1:])] = w
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    assert max(abs(float(unit[i] @ unit[j]) - float(full[i] @ full[j])) for i in range(40) for j in range(40)) < 1e-6
+
+
+def test_sampling_is_repeatable(spark):
+    df = spark.range(5000)
+    some = {r.id for r in sampled(df, "id", 0.2).collect()}
+    assert some == {r.id for r in sampled(df.repartition(7), "id", 0.2).collect()} and 800 < len(some) < 1200
