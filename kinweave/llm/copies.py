@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.text import normal_form, words
 from kinweave.operators.numbering import dense_number
-from kinweave.operators.skew import salted_join
+from kinweave.operators.skew import counted_join, salted_join
 from kinweave.session import cut
 
 
@@ -24,7 +24,7 @@ def encode_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     counts = tokens.groupBy("word").agg(F.count("*").alias("_n"))
     dictionary = cut(dense_number(counts, ["word"], "code"))
     total = dictionary.agg(F.sum("_n")).first()[0] or 0
-    coded = salted_join(tokens, dictionary, ["word"], "_n", total).groupBy("_v").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # one value's words
+    coded = counted_join(tokens, dictionary, ["word"], "_n", total).groupBy("_v").agg(F.array_sort(F.collect_list("code")).alias("codes"))  # one value's words
     return values.join(coded, "_v", "left").select("value", "n", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes"))
 
 
