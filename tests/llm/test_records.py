@@ -188,6 +188,69 @@ def test_common_names_are_refined_with_another_field(spark, monkeypatch):
     assert plain <= refined and {(0, 1), (2, 3), (4, 5)} <= refined
 
 
+def all_pairs(names):
+    """What comparing all pairs finds, with the counts that the operator gives its matcher."""
+    forms = {i: " ".join(re.sub("[^a-z0-9]+", " ", n.lower().replace(",", "").replace(".", "")).split()) for i, n in enumerate(names) if n and n != "nan"}
+    bags = {i: tuple(sorted(name_tokens(f))) for i, f in forms.items()}
+    own = lambda w: w[-SUFFIX:] if len(w) > 1 else f"={w}"
+    held = Counter(k for t in {*bags.values()} for k in {k for _, k, _ in llm_names.name_parts(t, llm_names.given_names())})
+    words = Counter(w for t in {*bags.values()} for w in set(t) if len(w) > 1)
+    n = len({*bags.values()} - {()})
+    matcher = Matcher({w: c for w, c in words.items() if c > llm_names.GENERIC_SHARE * n}, n)
+    same = lambda x, y: x == y or matcher.same(x, y, [held[own(w)] for w in x], [held[own(w)] for w in y])
+    return {(i, j) for i in forms for j in forms if i < j and forms[i] != forms[j] and bags[i] and bags[j] and same(bags[i], bags[j])}
+
+
+@pytest.mark.parametrize("block", [1, 2, 50])
+def test_names_of_common_keys_are_all_compared(spark, monkeypatch, block):
+    """Seventy spellings of one borrower share every key; two borrowers share only a word of many, their own ones being mistyped at the end."""
+    monkeypatch.setattr(llm_names, "MOST_BLOCK", block)
+    spellings = [f"R{a}indtek V{b}ailprurt Dental Services" for a in "bcdfghjklm" for b in "npqrstv"]
+    others = [f"{a}{b} {c}{a} Services" for a in ("kort", "wick", "plau", "drem") for b in ("sund", "zeag", "foul", "tix") for c in ("bram", "clov", "gner", "hund")]
+    names = [*spellings, *others, "Stombrel Jexrourt Services", "Stombrle Jexrorut Services", *[f"{g} {w} Smith" for g, w in (("john", "carter"), ("john", "cartr"), ("john", "cater"), ("jon", "carter"))]]
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
+    rows = [tuple(r) for r in spelling_variants(df, "row_idx", "n").collect()]
+    n = len(spellings)
+    assert len(rows) == len(set(rows)) and set(rows) == all_pairs(names)
+    assert len([r for r in rows if r[1] < n]) == n * (n - 1) // 2 and (n + len(others), n + len(others) + 1) in rows
+
+
+@pytest.mark.parametrize("chunk, batch", [(1_500, 4_000), (20, 4_000), (1_500, 50)])
+def test_chunks_of_a_common_key_find_what_all_pairs_find(spark, monkeypatch, chunk, batch):
+    for k, v in (("MOST_BLOCK", 1), ("CHUNK", chunk), ("BATCH", batch)):
+        monkeypatch.setattr(llm_names, k, v)
+    names = some_names(7)
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
+    rows = [tuple(r) for r in spelling_variants(df, "row_idx", "n").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == all_pairs(names)
+
+
+def test_the_screen_passes_all_that_the_matcher_accepts():
+    rng, given = random.Random(3), llm_names.given_names()
+    parts = ["rind", "vail", "sam", "chim", "tek", "prurt", "o'i", "ll", "l0"]
+    words = [*(a + b for a in parts for b in parts), "john", "johnny", "j0hn", "bi11", "william", "billy", "h", "r", "5", "services", "svcs", "s3rvices", "\u0436\u0443\u043a", "ab", "a" * 70, "fre", "ddie", "frederick"]
+
+    def typed(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w, w, w[:i] + w[i + 1 :] or w, w[:i] + rng.choice("aeil015") + w[i:], w.translate(str.maketrans("ols", "015")), w[0]])
+
+    lists = [[rng.choice(words) for _ in range(rng.randint(1, 4))] for _ in range(150)]
+    lists += [rng.sample([typed(w) for w in x], len(x)) for x in lists] + [[x[0] + x[1], *x[2:]] for x in lists if len(x) > 1]
+    lists += [["bor", "bor"], ["borbor" + "x", "bor"], ["borborxx"], ["borb", "orxx"], [f"w{i}" for i in range(450)], [f"w{i}" for i in range(449)], ["fre", "ddie"], ["frederick"]]
+    for generic in ({}, {"services": 900, "john": 900}):
+        matcher = Matcher(generic, 500)
+        may = llm_names.screened(llm_names.Words(lists, given), llm_names.Words(lists[::-1], given))[:, ::-1]
+        accepted = [(i, j) for i, x in enumerate(lists) for j, y in enumerate(lists) if matcher.same(x, y, [3] * len(x), [3] * len(y))]
+        assert len(accepted) > 2 * len(lists) and all(may[i, j] for i, j in accepted)
+    assert may.mean() < 0.5
+
+
+def test_names_with_numbers_are_names_and_addresses_are_not(spark):
+    names = ["Studio 540 Dental LLC", "Studio 540 Dental", "studio 540 dentall", "Studio 541 Dental", "Bakery 1540", "Bakery 1541", "1540 Bakery Inc", "540 Fair Gate Road", "Fair Gate Rd 540", "540 fair gate raod", "540 fairgate, TX 75001", "fairgate 540 TX 75001"]
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
+    assert {tuple(r) for r in spelling_variants(df, "row_idx", "n").collect()} == {(0, 1), (0, 2), (1, 2), (4, 6)}
+
+
 def test_variants_of_nothing_and_links(spark):
     df = spark.createDataFrame([(0, "Acme Bakery"), (1, "acme  bakery"), (2, "Acme Bakery LLC"), (3, None), (4, "...")], "row_idx long, n string")
     assert {tuple(r) for r in variant_links(df, "row_idx", "n").collect()} == {(0, 0, 1), (1, 0, 1), (2, 2, 2), (4, 4, 0)}
