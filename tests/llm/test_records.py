@@ -245,6 +245,21 @@ def test_the_screen_passes_all_that_the_matcher_accepts():
     assert may.mean() < 0.5
 
 
+def test_names_are_dealt_to_cells_in_waves(spark, monkeypatch):
+    """Whatever number of chunks a key has, few repeated names are on disk at a time, and their shuffle files go with their wave."""
+    for k, v in (("MOST_BLOCK", 2), ("CHUNK", 3), ("WAVE", 100)):
+        monkeypatch.setattr(llm_names, k, v, raising=False)
+    names = some_names(9)[:150]
+    df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle" in f}
+    before, most, write = files(), [], llm_names.cut_parts
+    monkeypatch.setattr(llm_names, "cut_parts", lambda s, frames: write(s, (most.append(len(files() - before)) or f for f in frames)))
+    rows = [tuple(r) for r in spelling_variants(df, "row_idx", "n").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == all_pairs(names)
+    assert len(most) > 4 and max(most) < 10
+
+
 def test_names_with_numbers_are_names_and_addresses_are_not(spark):
     names = ["Studio 540 Dental LLC", "Studio 540 Dental", "studio 540 dentall", "Studio 541 Dental", "Bakery 1540", "Bakery 1541", "1540 Bakery Inc", "540 Fair Gate Road", "Fair Gate Rd 540", "540 fair gate raod", "540 fairgate, TX 75001", "fairgate 540 TX 75001"]
     df = spark.createDataFrame(list(enumerate(names)), "row_idx long, n string")
