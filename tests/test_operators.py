@@ -264,6 +264,23 @@ def test_script_pipeline(spark, tmp_path):
     assert dense["Owl"] == dense["Fox and Den"] and len(set(dense.values())) == 3
 
 
+def test_cosine_pairs_in_waves(spark, monkeypatch):
+    """However many pairs the lists of common terms make, few are on disk at a time; the result is that of one wave."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(6, 12)))) for i in range(120)]
+    vectors = cut(S.class_vectors(cut(S.value_classes(spark.createDataFrame(rows, "row_idx long, n string"), "row_idx", "n")), "char_ngram"))
+    plain = {(r[0], r[1]): round(r[2], 9) for r in S.cosine_pairs(vectors, 0.6).collect()}
+    written, write = [], S.cut_parts
+    monkeypatch.setattr(S, "WAVE", 800)
+    monkeypatch.setattr(S, "MOST_LIST", 9)
+    monkeypatch.setattr(S, "cut_parts", lambda s, frames: write(s, (written.append(1) or f for f in frames)))
+    for most in (S.MOST_TERMS, 1):
+        monkeypatch.setattr(S, "MOST_TERMS", most)
+        rows = S.cosine_pairs(vectors, 0.6).collect()
+        assert len(rows) == len(plain) > 20 and {(r[0], r[1]): round(r[2], 9) for r in rows} == plain
+    assert len(written) > 4
+
+
 def test_own_tokenizer(spark):
     df = spark.createDataFrame([(0, "a-b"), (1, "b-a"), (2, "c")], "row_idx long, n string")
     rule = {"threshold": 0.9, "tokenizer": lambda c: F.split(c, "-")}
